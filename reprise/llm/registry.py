@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from reprise.llm import decontaminate
+from reprise.llm import decontaminate, mixing, warc
 
 
 def queries() -> dict:
-    return {"op10_decontaminate": decontaminate.op10_decontaminate}
+    return {
+        "op8_mixing": mixing.op8_mixing,
+        "op9_warc": warc.op9_warc,
+        "op10_decontaminate": decontaminate.op10_decontaminate,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontaminate": decontaminate.OP10_SQL}
+    return {
+        "op8_mixing": mixing.OP8_SQL,
+        "op9_warc": warc.OP9_SQL,
+        "op10_decontaminate": decontaminate.OP10_SQL,
+    }
