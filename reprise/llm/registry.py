@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from reprise.llm import decontaminate, mixing, warc
+from reprise.llm import decontaminate, langid, mixing, neardup, warc
 
 
 def queries() -> dict:
     return {
+        "op2_jaccard_join": neardup.op2_jaccard_join,
+        "op4_language_id": langid.op4_language_id,
         "op8_mixing": mixing.op8_mixing,
         "op9_warc": warc.op9_warc,
         "op10_decontaminate": decontaminate.op10_decontaminate,
