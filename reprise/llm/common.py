@@ -81,6 +81,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def carry(documents: DataFrame, keep: list[str]) -> tuple[DataFrame, str, int]:
+    """(the columns of `keep` and text behind them, the DDL of those to hand on, how many they are).
+
+    text is handed on, as the last, only if `keep` has it.
+    """
+    kept = documents.select(*[c for c in keep if c != "text"], F.col("text"))
+    fields = kept.schema.fields if "text" in keep else kept.schema.fields[:-1]
+    return kept, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), len(fields)
+
+
 def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int, list]]:
     """(from, to, texts) of runs of rows with at most `limit` characters, one row at least; null is ''."""
     texts = [t or "" for t in batch.column(column).to_pylist()]

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reprise.llm.common import Words, chunks, list_array, materialize, mix, table, windows
+from reprise.llm.common import Words, carry, chunks, list_array, materialize, mix, table, windows
 
 WINDOW = 13
 GRAM = 6
@@ -113,12 +113,12 @@ def _documents(bitmap, sizes: list[int]):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(at, at + n)),
-                        batch.column("doc_id").slice(a, n),
+                        *(batch.column(c).slice(a, n) for c in range(batch.num_columns - 1)),
                         pa.array(words.counts, pa.int64()),
                         lists,
                         pa.array([t if s else None for t, s in zip(texts, some, strict=True)], pa.string()),
                     ],
-                    ["row", "doc_id", "n_words", "prints", "text"],
+                    ["row", *batch.schema.names[:-1], "n_words", "prints", "text"],
                 )
                 at += n
 
@@ -151,21 +151,21 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(sorted(named))
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id"),
-                batch.column("n_words"),
+                *(batch.column(c) for c in range(batch.num_columns - 2)),
                 pa.array(hits, pa.int64()),
                 pa.array([len(x) for x in ids], pa.int64()),
                 pa.array(ids, pa.list_(pa.string())),
                 pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids], pa.string()),
             ],
-            ["doc_id", "n_words", "n_hit", "n_items", "items", "items_sha256"],
+            [*batch.schema.names[:-2], "n_hit", "n_items", "items", "items_sha256"],
         )
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
-    """One row per document row: doc_id, n_words, n_hit, n_items, items (ids as sorted strings), items_sha256, contaminated."""
+def contamination(documents: DataFrame, benchmark: DataFrame, keep: list[str], item_id: str = "item_id") -> DataFrame:
+    """The columns in `keep`, n_words, n_hit, n_items, items (ids as sorted strings), items_sha256 and contaminated
+    for each row of documents; none of `keep` may be text or be named like the others."""
     spark = documents.sparkSession
-    id_type = documents.schema[doc_id].dataType.simpleString()
+    kept, kinds, _ = carry(documents, keep)
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), "text").mapInArrow(
         _items, "item string, size int, wins array<bigint>, prints array<bigint>"
     )
@@ -180,9 +180,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     for cell, value in cells.collect():
         bits[cell] = np.int64(value).view(np.uint64)
     short = sorted(r[0] for r in items.where(F.col("size") < WINDOW).select("size").distinct().collect())  # 12 at most
-    docs = documents.select(F.col(doc_id).alias("doc_id"), "text").mapInArrow(
-        _documents(spark.sparkContext.broadcast(bits), short),
-        f"row bigint, doc_id {id_type}, n_words bigint, prints array<bigint>, text string",
+    docs = kept.mapInArrow(
+        _documents(spark.sparkContext.broadcast(bits), short), f"row bigint, {kinds}, n_words bigint, prints array<bigint>, text string"
     )
     docs = materialize(docs, "prints")
     keyed = items.select(F.xxhash64("item", "size", "wins").alias("key"), "item", "size", "wins", "prints")
@@ -196,16 +195,16 @@ def contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
         .agg(F.collect_list(F.struct("item", "size", "wins")).alias("items"))
     )
     out = (
-        docs.select("row", "doc_id", "n_words", "text")
+        docs.drop("prints")
         .join(pairs, "row", "left")
-        .select("doc_id", "n_words", "text", "items")
-        .mapInArrow(_extend, f"doc_id {id_type}, n_words bigint, n_hit bigint, n_items bigint, items array<string>, items_sha256 string")
+        .select(*keep, "n_words", "text", "items")
+        .mapInArrow(_extend, f"{kinds}, n_words bigint, n_hit bigint, n_items bigint, items array<string>, items_sha256 string")
     )
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"]).drop("items")
 
 
 OP10_SQL = r"""

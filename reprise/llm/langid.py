@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reprise.llm.common import chunks, code_points, fold, held_out, table
+from reprise.llm.common import carry, chunks, code_points, fold, held_out, table
 
 UNKNOWN = "und"
 MAX_N = 4
@@ -132,9 +132,12 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(documents: DataFrame) -> Model | None:
     """Fits on documents (doc_id, text, lang) outside the held-out fold; None if there are none."""
     pool = documents.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = pool.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    counts = pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each output of the model
+    if not counts:
+        return None
     place = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20))
-    sample = pool.join(counts, F.col("lang") == F.col("of")).where(place * F.col("n") < F.lit(SAMPLE << 20))
+    limits = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(SAMPLE / max(SAMPLE, r["n"]) * (1 << 20)))])
+    sample = pool.where(place < limits[F.col("lang")])
     rows = sample.select("text", "lang").mapInArrow(_bits, "lang string, bits binary").collect()
     if not rows:
         return None
@@ -145,7 +148,7 @@ def train(documents: DataFrame) -> Model | None:
     return fit(x, np.array([index[r[0]] for r in rows]), languages)
 
 
-def _predict(model):
+def _predict(model, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
@@ -158,19 +161,18 @@ def _predict(model):
                     names += [m.languages[k] if ok and m else UNKNOWN for k, ok in zip(best, has, strict=True)]
                     scores.append(np.where(has & (m is not None), p[np.arange(len(x)), best], 0.0))
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(a, b - a) for c in range(batch.num_columns - 1)), pa.array(names), pa.array(np.concatenate(scores), pa.float64())],
-                    [*batch.schema.names[:-1], "lang_pred", "score"],
+                    [*(c.slice(a, b - a) for c in batch.columns[:n]), pa.array(names), pa.array(np.concatenate(scores), pa.float64())],
+                    [*batch.schema.names[:n], "lang_pred", "score"],
                 )
 
     return run
 
 
 def predict(documents: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """The columns in `keep`, lang_pred and score for each row of documents; text is one of its columns."""
+    """The columns in `keep`, lang_pred and score for each row of documents."""
     spark = documents.sparkSession
-    kept = documents.select(*keep, F.col("text").alias("text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(_predict(spark.sparkContext.broadcast(model)), f"{kinds}, lang_pred string, score double")
+    kept, kinds, n = carry(documents, keep)
+    return kept.mapInArrow(_predict(spark.sparkContext.broadcast(model), n), f"{kinds}, lang_pred string, score double")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -264,10 +264,10 @@ def text_key(column: str = "text"):
 
 
 def jaccard_classes(documents: DataFrame, similarity: float = SIMILARITY, size: int = SIZE, recall: float = RECALL) -> DataFrame:
-    """doc_id, text_key, class_id, links, grams for each row of documents (doc_id, text).
+    """doc_id, text_key, class_id, class_text, links, grams for each row of documents (doc_id, text).
 
-    class_id: the smallest doc_id among the documents that links connect; links: how many other
-    documents have the similarity or more, copies included.
+    class_id: the smallest doc_id among the documents that links connect, and class_text the smallest
+    text_key of its texts; links: how many other documents have the similarity or more, copies included.
     """
     bands, rows = banding(similarity, recall)
     id_type = documents.schema["doc_id"].dataType.simpleString()
@@ -307,13 +307,13 @@ def jaccard_classes(documents: DataFrame, similarity: float = SIMILARITY, size:
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = nodes.select("text_key", "node", "copies", "first_id").join(links, "node", "left").join(classes, "node", "left")
     named = named.withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
+    least = named.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "text_key")).alias("least"))
     named = named.join(least, "root").select(
-        F.col("text_key").alias("of"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")
+        F.col("text_key").alias("of"), F.col("least.first_id").alias("class_id"), F.col("least.text_key").alias("class_text"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")
     )
     out = signed.select("doc_id", "text_key", "grams").join(named, (F.col("text_key") == F.col("of")) & (F.col("grams") > 0), "left")
-    own = F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    return out.select("doc_id", "text_key", own.alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"), "grams")
+    own = lambda mine, of_class: F.when(F.col("of").isNull(), F.col(mine)).otherwise(F.col(of_class)).alias(of_class)
+    return out.select("doc_id", "text_key", own("doc_id", "class_id"), own("text_key", "class_text"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"), "grams")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
