@@ -57,6 +57,8 @@ def write_archives(pages: DataFrame, path: str) -> None:
         .where("copies > 1 AND first IS NOT NULL")
         .select(F.col("digest").alias("of"), "first")
     )
+    # written first, so that its size is known before the join is planned
+    groups = materialize(groups, "copies")
     typed = pages.join(groups, (F.col("digest") == F.col("of")) & (F.col("bytes") >= MIN_REVISIT), "left")
     revisit = F.coalesce(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
     body = F.when(revisit, F.lit("")).otherwise(F.col("html"))
