@@ -32,17 +32,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of near duplicates: one with the smallest doc_id."""
-    classes = neardup.jaccard_classes(docs).where("grams > 0")
+    classes = materialize(neardup.jaccard_classes(docs).where("grams > 0"), "classes")
     chosen = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("class_text"))
     ids = [F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")]
     per_row = classes.groupBy(*ids).agg(F.bool_and(chosen).alias("stays"), F.count(F.lit(1)).alias("rows"))
+    # rows that go, and rows that repeat the chosen id and text, of which one stays
     special = materialize(per_row.where("NOT stays OR rows > 1"), "special")
+    again = materialize(special.where("stays"), "again")
+    keyed = docs.withColumn("text_key", neardup.text_key())
     same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key"))
-    marked = docs.withColumn("text_key", neardup.text_key()).join(special, same, "left")
-    once = marked.where("of_key IS NULL")
-    # rows that repeat the chosen id and text: one of them
+    # what goes grows with the documents, so it is never broadcast, and the plan is the same at every size
+    once = keyed.join(special.hint("merge"), same, "left_anti")
     first = W.partitionBy("of_id", "of_key").orderBy(*[F.col(c) for c in docs.columns if c != "text"])
-    repeated = marked.where("stays").withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    repeated = keyed.join(again, same).withColumn("nth", F.row_number().over(first)).where("nth = 1")
     return once.select(*docs.columns).unionByName(repeated.select(*docs.columns))
 
 
