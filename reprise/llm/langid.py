@@ -132,9 +132,12 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(documents: DataFrame) -> Model | None:
     """Fits on documents (doc_id, text, lang) outside the held-out fold; None if there are none."""
     pool = documents.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = pool.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    counts = pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each output of the model
+    if not counts:
+        return None
     place = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20))
-    sample = pool.join(counts, F.col("lang") == F.col("of")).where(place * F.col("n") < F.lit(SAMPLE << 20))
+    limits = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(SAMPLE / max(SAMPLE, r["n"]) * (1 << 20)))])
+    sample = pool.where(place < limits[F.col("lang")])
     rows = sample.select("text", "lang").mapInArrow(_bits, "lang string, bits binary").collect()
     if not rows:
         return None
