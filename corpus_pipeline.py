@@ -6,6 +6,9 @@ mix. Learned stages are fitted on what they are given, with the labels of the wh
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +20,21 @@ from reprise.llm.common import materialize, table
 MIN_LANGUAGE_SCORE = 0.5
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def filtering(stage: Stage) -> Stage:
+    """Other columns than the operators' inputs get names of their own for the stage, as theirs may clash with what it adds."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in ("doc_id", "text", "lang", "source") else f"extra_{i}" for i, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*names), sf_dir).select(*names).toDF(*docs.columns)
+
+    return run
+
+
+@filtering
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
     model = quality_mil.train(docs, table(spark, sf_dir, "labels"))
@@ -24,12 +42,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return scored.where(F.col("score") >= quality_mil.THRESHOLD).select(*docs.columns)
 
 
+@filtering
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents without a letter and those in no language that was learned well."""
     named = langid.predict(docs, langid.train(docs), docs.columns)
     return named.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
+@filtering
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of near duplicates: one with the smallest doc_id."""
     classes = materialize(neardup.jaccard_classes(docs).where("grams > 0"), "classes")
@@ -48,6 +68,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return once.select(*docs.columns).unionByName(repeated.select(*docs.columns))
 
 
+@filtering
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that are contaminated by benchmark items."""
     keyed = docs.withColumn("text_key", neardup.text_key())

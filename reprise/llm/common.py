@@ -7,9 +7,6 @@ CHUNK_CHARS, or by the longest single text if that is longer.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reprise.storage import materialize, new_path
+
+__all__ = ["materialize", "new_path"]
+
 #: Words everywhere in this subpackage: runs of anything but space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_CHARS = 1_000_000
@@ -39,48 +40,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id) == 0, F.lit(False))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if "own" not in _own:
-        _own["own"] = tempfile.mkdtemp(prefix="reprise-")
-    return f"file://{_own['own']}"
-
-
-_own: dict[str, str] = {}
-_written: list[str] = []
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/reprise-{name}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_remove, spark)
-    _written.append(path)
-    return path
-
-
-def _remove(spark: SparkSession) -> None:
-    try:
-        jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
-        for path in _written:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(hadoop).delete(p, True)
-    except Exception:  # the JVM may be gone by then
-        pass
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def carry(documents: DataFrame, keep: list[str]) -> tuple[DataFrame, str, int]:
     """(the columns of `keep` and text behind them, the DDL of those to hand on, how many they are).
 

@@ -25,7 +25,6 @@ from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from reprise.llm.common import table
 
@@ -269,16 +268,21 @@ def scan(documents: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document: its confirmed licence families in order, and how many paragraphs named one or were unknown."""
+    """Every document: its confirmed families in order, its paragraphs that name a family or an unknown licence
+    (line and family, in order), and how many of them there are and are confirmed."""
     docs = table(spark, sf_dir, "documents")
     found = scan(docs)
-    per = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+    # a repeated row has the same paragraphs again; they are listed once and given to each
+    found = found.where("doc_id IS NOT NULL").distinct()
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("line", "family"))), lambda x: F.concat_ws(":", x["line"].cast("string"), x["family"]))
+    per = found.groupBy("doc_id").agg(
         F.array_join(F.sort_array(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"),
+        F.array_join(listed, " ").alias("paragraphs"),
         F.count(F.lit(1)).alias("n_candidates"),
         F.count_if("confirmed").alias("n_confirmed"),
     )
     none = F.lit(0).cast("bigint")
     return docs.select("doc_id").join(per, "doc_id", "left").select(
-        "doc_id", F.coalesce("families", F.lit("")).alias("families"),
+        "doc_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("families", "paragraphs")],
         F.coalesce("n_candidates", none).alias("n_candidates"), F.coalesce("n_confirmed", none).alias("n_confirmed"),
     )
