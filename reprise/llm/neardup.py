@@ -235,7 +235,10 @@ def _verify(similarity: Fraction):
         grams = t["grams"].combine_chunks()
         sizes = np.diff(grams.offsets.to_numpy())
         split = len(order) if i == j else int((block == i).sum())
-        links, root = verify(grams.flatten().to_numpy().view(np.uint64), sizes, copies[order], split, similarity)
+        if i != j and split in (0, len(order)):  # one of the blocks has no members
+            links, root = np.zeros(len(order), dtype=np.int64), np.arange(len(order))
+        else:
+            links, root = verify(grams.flatten().to_numpy().view(np.uint64), sizes, copies[order], split, similarity)
         node = node[order]
         return pa.RecordBatch.from_arrays([pa.array(node), pa.array(links), pa.array(node[root])], ["node", "links", "root"])
 
