@@ -26,7 +26,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reprise.llm.common import table
+from reprise.llm.common import materialize, table
 
 MAX_N = 3
 UNKNOWN = "unknown"
@@ -225,6 +225,8 @@ def scan(documents: DataFrame, doc_id: str = "doc_id") -> DataFrame:
         .withColumn("words", _words(F.col("paragraph")))
         .withColumn("row", F.monotonically_increasing_id())
     )
+    # written once: the texts are searched once, and rows keep their numbers
+    lines = materialize(lines.select("doc_id", "line", "words", "row"), "paragraphs")
     # constants of the library: a few hundred n-grams and the pairs of the templates
     table_of = spark.createDataFrame([(g, [row.get(k, 0.0) for k in labels]) for g, row in sorted(weight.items())], "gram string, w array<double>")
     pairs = [(f, n, g) for f in families() for n, t in enumerate(TEMPLATES[f]) for g in sorted({" ".join(p) for p in zip(t.split(), t.split()[1:], strict=False)})]
