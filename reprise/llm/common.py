@@ -20,7 +20,8 @@ __all__ = ["materialize", "new_path"]
 
 #: Words everywhere in this subpackage: runs of anything but space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 250_000
+_ROWS = 256
 
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -52,15 +53,17 @@ def carry(documents: DataFrame, keep: list[str]) -> tuple[DataFrame, str, int]:
 
 def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int, list]]:
     """(from, to, texts) of runs of rows with at most `limit` characters, one row at least; null is ''."""
-    texts = [t or "" for t in batch.column(column).to_pylist()]
-    start, used = 0, 0
-    for i, t in enumerate(texts):
-        if used and used + len(t) > limit:
-            yield start, i, texts[start:i]
-            start, used = i, 0
-        used += len(t) + 1
-    if start < len(texts):
-        yield start, len(texts), texts[start:]
+    values, start, used, texts = batch.column(column), 0, 0, []
+    for first in range(0, batch.num_rows, _ROWS):  # a batch's texts are not held as Python strings all at once
+        for t in values.slice(first, _ROWS).to_pylist():
+            t = t or ""
+            if texts and used + len(t) > limit:
+                yield start, start + len(texts), texts
+                start, used, texts = start + len(texts), 0, []
+            texts.append(t)
+            used += len(t) + 1
+    if texts:
+        yield start, start + len(texts), texts
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -34,10 +34,11 @@ SIMILARITY = 0.8
 RECALL = 0.9995
 MAX_HASHES = 160
 #: A block has about so many n-grams and documents at most.
-BLOCK_GRAMS = 2_000_000
-BLOCK_DOCS = 4096
+BLOCK_GRAMS = 1_000_000
+BLOCK_DOCS = 2048
 #: N-grams in more of a task's documents than this are counted by matrix product, others pair by pair.
 DENSE = 64
+STRIPE = 256
 
 
 def banding(similarity: float = SIMILARITY, recall: float = RECALL, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
@@ -186,7 +187,7 @@ def shared_counts(grams: np.ndarray, owner: np.ndarray, n: int, split: int) -> n
             if shift:
                 cross = (p < split) & (q >= 0)
                 p, q = p[cross], q[cross]
-            out += np.bincount(p * right + q, minlength=left * right).reshape(left, right).astype(np.float32)
+            np.add.at(out.reshape(-1), p * right + q, np.float32(1))
     many = count > DENSE
     if many.any():
         column = np.repeat(np.where(many, np.cumsum(many) - 1, -1), count)
@@ -203,21 +204,25 @@ def verify(grams: np.ndarray, sizes: np.ndarray, copies: np.ndarray, split: int,
     """For each document: how many documents it is linked to, and the first document of its component."""
     n = len(sizes)
     common = shared_counts(grams, np.repeat(np.arange(n), sizes), n, split)
-    shift = 0 if split == n else split
+    left, shift = len(common), 0 if split == n else split
     p, q = similarity.numerator, similarity.denominator
-    near = common.astype(np.float64) * (p + q) >= p * (sizes[: common.shape[0], None] + sizes[None, shift:])
-    if not shift:
-        near = np.triu(near, 1)
+    near = np.empty(common.shape, dtype=bool)
     links = np.zeros(n, dtype=np.int64)
-    links[: near.shape[0]] += near @ copies[shift:]
-    links[shift:] += near.T @ copies[: near.shape[0]]
+    stripes = [slice(i, min(i + STRIPE, left)) for i in range(0, left, STRIPE)]  # bounds what is held besides counts
+    for rows in stripes:
+        near[rows] = common[rows].astype(np.float64) * (p + q) >= p * (sizes[rows, None] + sizes[None, shift:])
+        if not shift:
+            near[rows] &= np.arange(left)[None, :] > np.arange(left)[rows, None]
+        links[rows] += near[rows] @ copies[shift:]
+        links[shift:] += copies[rows] @ near[rows]
+    del common
     root = np.arange(n)
     while True:
         new = root.copy()
-        to = np.where(near, root[None, shift:], n).min(axis=1, initial=n)
-        np.minimum(new[: near.shape[0]], to, out=new[: near.shape[0]])
-        back = np.where(near, new[: near.shape[0], None], n).min(axis=0, initial=n)
-        new[shift:] = np.minimum(new[shift:], back)
+        for rows in stripes:
+            new[rows] = np.minimum(new[rows], np.where(near[rows], root[None, shift:], n).min(axis=1, initial=n))
+        for rows in stripes:
+            new[shift:] = np.minimum(new[shift:], np.where(near[rows], new[rows, None], n).min(axis=0, initial=n))
         new = new[new]
         if (new == root).all():
             return links, root
