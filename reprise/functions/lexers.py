@@ -235,8 +235,11 @@ def _braced(tokens: list[Token], lang: Language) -> list[tuple[str, int, int]]:
         if t.type != "{" or i not in partner:
             continue
         start = _member_start(tokens, i, partner)
-        head = [tokens[k].type for k in range(start, i)]
-        word = next((h for h in head if h in types), None)
+        head, flat, k = [tokens[k].type for k in range(start, i)], [], start
+        while k < i:  # the head without what is in parentheses
+            flat.append(tokens[k].type)
+            k = partner[k] + 1 if tokens[k].type == "(" and k in partner else k + 1
+        word = next((h for h in flat if h in types), None)
         kind = "block"
         if lang.name == "rs":
             word = word or ("extern" if "extern" in head and "fn" not in head else None)
@@ -256,12 +259,12 @@ def _braced(tokens: list[Token], lang: Language) -> list[tuple[str, int, int]]:
                     out.append((types[word], start, partner[i]))
         else:
             name = _call(tokens, start, i, partner)
-            if word and not (name is not None and "=" in head):
+            if word:
                 kind = "type"
                 out.append((types[word], start, partner[i]))
             elif "new" in head and head[-1:] == [")"] and "->" not in head[-3:]:
                 kind = "type"  # an anonymous class
-            elif context[-1] == "type" and (len(context) > 1 or lang.name == "java") and name is not None and "=" not in head:
+            elif context[-1] == "type" and (len(context) > 1 or lang.name == "java") and name is not None and "=" not in flat:
                 if lang.name == "java":
                     if _typed(tokens, start, name, partner):
                         out.append(("method_declaration", start, partner[i]))
@@ -361,7 +364,7 @@ def fragments(text: str, lang: Language, types: tuple[str, ...]) -> list[tuple[s
 def found(text: str, tokens: list[Token], lang: Language, types: tuple[str, ...]) -> list[tuple[str, int, int]]:
     if not tokens:
         return []
-    every = _python(text, tokens) if lang is PYTHON else _braced(tokens, lang)
+    every = _python(text, tokens) if lang.name == "py" else _braced(tokens, lang)
     every.append((lang.root, 0, len(tokens) - 1))
     return sorted({x for x in every if x[0] in types}, key=lambda x: (x[1], -x[2], x[0]))
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reprise.functions.text import apply_edits
+
 
 def latest(events: DataFrame, order: str = "version") -> DataFrame:
     """The last event of each uri; events without a text delete."""
@@ -18,6 +21,15 @@ def upsert(documents: DataFrame, events: DataFrame, order: str = "version") -> D
     return kept.select("uri", "text").unionByName(last.where(F.col("text").isNotNull()).select("uri", "text"))
 
 
+def edited(documents: DataFrame, edits: DataFrame) -> DataFrame:
+    """documents (uri, text) after ranged edits (uri, version, start_line, start_char, end_line, end_char, text),
+    each document's in the order of their versions; edits of unknown documents are left out."""
+    names = ("start_line", "start_char", "end_line", "end_char", "text")
+    listed = edits.groupBy("uri").agg(F.array_sort(F.collect_list(F.struct("version", *names))).alias("edits"))
+    joined = documents.select("uri", "text").join(listed, "uri", "left")
+    return joined.select("uri", apply_edits(F.col("text"), F.col("edits")).alias("text"))
+
+
 def changed(old: DataFrame, new: DataFrame) -> DataFrame:
     """uri, change: added, modified or deleted between two versions of documents (uri, text).
 
@@ -47,8 +59,6 @@ def minimized(versions: DataFrame, changes: DataFrame) -> DataFrame:
 
 def reversed_versions(versions: DataFrame) -> DataFrame:
     """The versions' names in opposite order: the first one's files become the last one's."""
-    from pyspark.sql import Window as W
-
     names = versions.select("version").distinct()  # as many rows as versions
     numbered = names.withColumn("up", F.row_number().over(W.orderBy("version"))).withColumn("down", F.row_number().over(W.orderBy(F.col("version").desc())))
     pairs = numbered.alias("a").join(numbered.alias("b"), F.col("a.up") == F.col("b.down")).select(F.col("a.version"), F.col("b.version").alias("becomes"))

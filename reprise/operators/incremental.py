@@ -29,7 +29,7 @@ class State:
 
 def build(fragments: DataFrame, threshold: int) -> State:
     fragments = fragments.select("uri", "frag_id", "toks")
-    every = seeds(fragments, threshold, prune=False)
+    every = seeds(fragments, threshold)
     return State(fragments, every, neighbours(suffixes(repeated_seeds(every), fragments, threshold)), threshold)
 
 
@@ -38,7 +38,7 @@ def refresh(state: State, gone: DataFrame, come: DataFrame) -> State:
     come = come.select("uri", "frag_id", "toks")
     uris = gone.select("uri").unionByName(come.select("uri")).distinct()
     removed = state.seeds.join(uris, "uri", "left_semi")
-    added = seeds(come, state.threshold, prune=False)
+    added = seeds(come, state.threshold)
     touched = removed.select(*KEY).unionByName(added.select(*KEY)).distinct()
     fragments = state.fragments.join(uris, "uri", "left_anti").unionByName(come)
     every = state.seeds.join(uris, "uri", "left_anti").unionByName(added)

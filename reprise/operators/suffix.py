@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from reprise.functions.text import let
+from reprise.storage import materialize
 
 KEY = ("seed_hi", "seed_lo")
 PLACE = ("uri", "frag_id", "off")
@@ -33,18 +34,22 @@ def _prints(toks: Column, threshold: int) -> Column:
     return let(toks, lambda t: let(grams(t), least))
 
 
-def seeds(fragments: DataFrame, threshold: int, prune: bool = True) -> DataFrame:
-    """uri, frag_id, off, seed_hi, seed_lo of every seed; with prune of those whose print occurs twice."""
-    long = fragments.where(F.size("toks") >= threshold)
-    toks = F.col("toks")
-    if prune:
-        prints = long.select("uri", "frag_id", F.explode(F.array_distinct(_prints(toks, threshold))).alias("print")).select("uri", "frag_id", "print.h")
-        again = prints.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        found = prints.join(again, "h").groupBy("uri", "frag_id").agg(F.collect_set("h").alias("again"))
+def candidates(fragments: DataFrame, threshold: int) -> DataFrame:
+    """uri, frag_id, toks, again (the prints that occur twice) of the fragments that have such a print."""
+    long = fragments.where(F.size("toks") >= threshold).select("uri", "frag_id", "toks")
+    prints = long.select("uri", "frag_id", F.explode(F.array_distinct(_prints(F.col("toks"), threshold))).alias("print")).select("uri", "frag_id", "print.h")
+    twice = prints.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = prints.join(twice, "h").groupBy("uri", "frag_id").agg(F.collect_set("h").alias("again"))
+    return long.join(found, ["uri", "frag_id"])
+
+
+def seeds(fragments: DataFrame, threshold: int) -> DataFrame:
+    """uri, frag_id, off, seed_hi, seed_lo of every seed; of candidates only of those whose print is in `again`."""
+    long, toks = fragments.where(F.size("toks") >= threshold), F.col("toks")
+    if "again" in fragments.columns:
         kept = lambda again: F.filter(
             F.transform(_prints(toks, threshold), lambda p, i: F.when(F.array_contains(again, p["h"]), i)), lambda i: i.isNotNull()
         )
-        long = long.join(found, ["uri", "frag_id"])
         offs = let(F.col("again"), kept)
     else:
         offs = F.sequence(F.lit(0), F.size(toks) - threshold)
@@ -115,7 +120,10 @@ def nodes(marked: DataFrame) -> DataFrame:
 
 
 def ranked(fragments: DataFrame, threshold: int, prune: bool = True) -> DataFrame:
-    return neighbours(suffixes(repeated_seeds(seeds(fragments, threshold, prune)), fragments, threshold))
+    """Neighbours of all repeated seeds. Candidates are written once: what follows reads them, not all fragments."""
+    if prune:
+        fragments = materialize(candidates(fragments, threshold), "candidates")
+    return neighbours(suffixes(repeated_seeds(seeds(fragments, threshold)), fragments, threshold))
 
 
 def clones(fragments: DataFrame, threshold: int) -> DataFrame:

@@ -9,6 +9,7 @@ from reprise.operators import documents as dc
 from reprise.operators import edits
 from reprise.operators import tokens as tk
 from reprise.streaming.changes import CloneStore, read_events
+from reprise.streaming.progress import listen
 
 
 def test_scripts_give_the_new_sequence():
@@ -55,6 +56,14 @@ def test_upsert_takes_the_last_event(spark):
     assert sorted(map(tuple, dc.changed(docs, dc.upsert(docs, events)).collect())) == [("a", "modified"), ("b", "deleted"), ("d", "added")]
 
 
+def test_ranged_edits_in_order(spark):
+    docs = spark.createDataFrame([("a", "x\ny"), ("b", "same")], "uri string, text string")
+    kind = "uri string, version int, start_line int, start_char int, end_line int, end_char int, text string"
+    rows = [("a", 2, 0, 0, 0, 1, "second "), ("a", 1, 0, 1, 1, 0, "first"), ("gone", 1, 0, 0, 0, 0, "?")]
+    out = dc.edited(docs, spark.createDataFrame(rows, kind))
+    assert sorted(map(tuple, out.collect())) == [("a", "second firsty"), ("b", "same")]
+
+
 def test_growing_numbers_of_deletions():
     assert dc.deletions_per_version(1, 5) == [1, 5, 10, 15]
     assert dc.deletions_per_version(7, 3) == [7, 10]
@@ -78,9 +87,12 @@ def test_stream_equals_rebuild(spark, tmp_path):
         [("b", None, 2), ("c", line + " more", 1), ("a", line + "\nx y", 2)],
         [("a", "nothing here", 3)],
     ]
-    store = CloneStore(spark, str(tmp_path / "store"), 4)
+    store, notices = CloneStore(spark, str(tmp_path / "store"), 4), []
+    listener = listen(spark, lambda kind, text: notices.append(kind))
     for n, rows in enumerate(batches):
         spark.createDataFrame(rows, "uri string, text string, version bigint").coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
         store.start(read_events(spark, str(tmp_path / "events")), str(tmp_path / "checkpoint")).awaitTermination()
         assert store.clones().count() == [2, 2, 0][n]
     assert sorted(r.uri for r in store.documents().collect()) == ["a", "c"]
+    spark.streams.removeListener(listener)
+    assert "begin" in notices
