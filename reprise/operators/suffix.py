@@ -34,10 +34,15 @@ def _prints(toks: Column, threshold: int) -> Column:
     return let(toks, lambda t: let(grams(t), least))
 
 
+def _once(prints: Column) -> Column:
+    """Each print once: their places never go back from one seed to the next, so equal ones are side by side."""
+    return let(prints, lambda p: F.filter(p, lambda x, i: (i == 0) | (x["at"] != F.get(p, i - 1)["at"])))
+
+
 def candidates(fragments: DataFrame, threshold: int) -> DataFrame:
     """uri, frag_id, toks, again (the prints that occur twice) of the fragments that have such a print."""
     long = fragments.where(F.size("toks") >= threshold).select("uri", "frag_id", "toks")
-    prints = long.select("uri", "frag_id", F.explode(F.array_distinct(_prints(F.col("toks"), threshold))).alias("print")).select("uri", "frag_id", "print.h")
+    prints = long.select("uri", "frag_id", F.explode(_once(_prints(F.col("toks"), threshold))).alias("print")).select("uri", "frag_id", "print.h")
     twice = prints.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     found = prints.join(twice, "h").groupBy("uri", "frag_id").agg(F.collect_set("h").alias("again"))
     return long.join(found, ["uri", "frag_id"])
