@@ -194,3 +194,19 @@ def test_labels_of_held_out_documents_have_no_say(spark):
     langs = [[(*r[:2], "xx" if fold(r[0]) == 0 else ("aa", "bb")[r[0] % 2], *r[3:]) for r in docs], [(*r[:2], ("aa", "bb")[r[0] % 2], *r[3:]) for r in docs]]
     models = [langid.train(spark.createDataFrame(x, DOCS)) for x in langs]
     assert models[0].languages == models[1].languages == ["aa", "bb"] and np.array_equal(models[0].weights, models[1].weights)
+
+
+def test_toxic_expressions_of_ordinary_words(spark):
+    """Toxic texts have two ordinary words side by side; ordinary texts have both, apart. Words are in Cyrillic."""
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("абвгдежзик") for _ in range(5)) for _ in range(60)]
+    docs, labels = [], []
+    for i in range(300):
+        w = [rng.choice(vocabulary) for _ in range(40)]
+        toxic = i % 2
+        w[5:7] = ["луна", "река"] if toxic else ["река", "луна"]
+        docs.append((i, " ".join(w), "ru", "s", 1))
+        labels.append((i, 1, toxic))
+    got = toxicity.score(frame(spark, docs), spark.createDataFrame(labels, LABELS), ["doc_id"]).collect()
+    held = [r for r in got if fold(r.doc_id) == 0]
+    assert sum((r.score >= 0.5) == r.doc_id % 2 for r in held) / len(held) > 0.95
