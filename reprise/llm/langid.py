@@ -7,6 +7,9 @@ with K the landmarks' kernel matrix, a text is its row of kernel values times K^
 regression per language is solved on that. Texts are scored in batches: presence matrix times landmarks,
 then times the folded coefficients.
 
+Long texts would fill the buckets, so what is scored are passages: a text is cut into the fewest equal parts of at most
+PASSAGE characters, and its probabilities are the mean of those of all its parts that have a letter. The fit sees passages too.
+
 The model is fitted on at most about SAMPLE documents a language, chosen by a hash of their ids; its size
 is LANDMARKS x BUCKETS bits and LANDMARKS x languages numbers, whatever the input.
 
@@ -35,7 +38,9 @@ BUCKETS = 8192
 SAMPLE = 800
 LANDMARKS = 256
 RIDGE = 1e-3
-#: Besides whole sample texts the fit sees pieces of so many characters, as short texts look like these.
+#: The most characters that are scored at once.
+PASSAGE = 2000
+#: Besides sample passages the fit sees pieces of so many characters, as short texts look like these.
 PIECE = 60
 ROWS = 256
 
@@ -69,6 +74,12 @@ def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out.reshape(len(texts), BUCKETS), has
 
 
+def cut(text: str) -> list[str]:
+    """The passages of a text; one, empty, of an empty text."""
+    k = max(1, -(-len(text) // PASSAGE))
+    return [text[len(text) * i // k : len(text) * (i + 1) // k] for i in range(k)]
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -116,12 +127,13 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str]) -> Model:
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed features of each whole text and of a piece from its middle."""
+    """Packed features of the passage in the middle of each text and of a piece from there."""
     for batch in batches:
         for a, b, texts in chunks(batch):
             pieces = [t[len(t) // 2 : len(t) // 2 + PIECE] for t in texts]
             langs = batch.column("lang").slice(a, b - a)
-            for part in (texts, pieces):
+            middles = [p[len(p) // 2] for p in map(cut, texts)]
+            for part in (middles, pieces):
                 for s in range(0, len(part), ROWS):
                     x, has = presence(part[s : s + ROWS])
                     rows = [r.tobytes() for r in np.packbits(x, axis=1)]
@@ -153,15 +165,20 @@ def _predict(model, n: int):
         m = model.value
         for batch in batches:
             for a, b, texts in chunks(batch):
-                names, scores = [], []
-                for s in range(0, b - a, ROWS):
-                    x, has = presence(texts[s : s + ROWS])
-                    p = m.probabilities(x) if m else np.zeros((len(x), 1))
-                    best = p.argmax(axis=1)
-                    names += [m.languages[k] if ok and m else UNKNOWN for k, ok in zip(best, has, strict=True)]
-                    scores.append(np.where(has & (m is not None), p[np.arange(len(x)), best], 0.0))
+                total = np.zeros((b - a, len(m.languages) if m else 1))
+                lettered = np.zeros(b - a)
+                parts = [(row, part) for row, text in enumerate(texts) for part in cut(text)]
+                for s in range(0, len(parts), ROWS):
+                    x, has = presence([part for _, part in parts[s : s + ROWS]])
+                    rows = np.array([row for row, _ in parts[s : s + ROWS]])[has]
+                    np.add.at(lettered, rows, 1)
+                    if m:
+                        np.add.at(total, rows, m.probabilities(x[has]))
+                best, has = total.argmax(axis=1), lettered > 0
+                names = [m.languages[k] if ok and m else UNKNOWN for k, ok in zip(best, has, strict=True)]
+                scores = np.where(has & (m is not None), total[np.arange(b - a), best] / np.maximum(lettered, 1), 0.0)
                 yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(a, b - a) for c in batch.columns[:n]), pa.array(names), pa.array(np.concatenate(scores), pa.float64())],
+                    [*(c.slice(a, b - a) for c in batch.columns[:n]), pa.array(names), pa.array(scores, pa.float64())],
                     [*batch.schema.names[:n], "lang_pred", "score"],
                 )
 

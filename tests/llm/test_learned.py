@@ -210,3 +210,21 @@ def test_toxic_expressions_of_ordinary_words(spark):
     got = toxicity.score(frame(spark, docs), spark.createDataFrame(labels, LABELS), ["doc_id"]).collect()
     held = [r for r in got if fold(r.doc_id) == 0]
     assert sum((r.score >= 0.5) == r.doc_id % 2 for r in held) / len(held) > 0.95
+
+
+def test_language_score_does_not_sink_with_length(spark):
+    rows = [(r.doc_id, r.text, r.lang, "s", 1) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect() if r.doc_id is not None and r.text and r.lang]
+    model = langid.train(frame(spark, rows))
+    docs = []
+    for k, lang in enumerate(model.languages):
+        joined = " ".join(t for d, t, x, *_ in rows if x == lang and fold(d) == 0)
+        long = (joined + "\n") * (1 + 1_000_000 // len(joined))
+        # a wide vocabulary: the text's own runs of letters, shuffled
+        pieces = [joined[i : i + 7] for i in range(0, len(joined) - 7, 7)]
+        docs += [(10 * k, joined[:2000], lang, "s", 1), (10 * k + 1, long, lang, "s", 1)]
+        random.Random(k).shuffle(pieces)
+        docs.append((10 * k + 2, "".join(pieces * (1 + 1_000_000 // (7 * len(pieces))))[:1_000_000], lang, "s", 1))
+    got = {r.doc_id: r for r in langid.predict(frame(spark, docs), model, ["doc_id"]).collect()}
+    for k, lang in enumerate(model.languages):
+        assert {got[10 * k + i].lang_pred for i in (0, 1, 2)} == {lang}
+        assert abs(got[10 * k + 1].score - got[10 * k].score) < 0.1 and got[10 * k + 2].score > 0.8
