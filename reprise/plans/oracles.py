@@ -75,6 +75,7 @@ ORACLES = {
     "corpus_positions": on_docs(f", {_CORPUS} SELECT uri, frag_id, n_tokens, pos_start, pos_start + n_tokens AS pos_end FROM corpus"),
     "fingerprints": on_docs(f", {_DICTIONARY} SELECT uri, frag_id, md5(string_agg(CAST(token_id AS VARCHAR), ' ' ORDER BY off) || ' 1') AS digest, count(*) + 1 AS n_ids FROM places JOIN dict USING (token) GROUP BY uri, frag_id"),
     "pos_to_source": on_docs(f", {_CORPUS} SELECT p.pos, uri, frag_id, p.pos - pos_start AS off FROM (SELECT unnest(range(0, 200000, 97)) AS pos) p JOIN corpus ON p.pos BETWEEN pos_start AND pos_start + n_tokens"),
+    "every_pos_to_source": on_docs(f", {_CORPUS} SELECT pos_start + off AS pos, uri, frag_id, off FROM (SELECT *, unnest(range(n_tokens + 1)) AS off FROM corpus)"),
     "suffix_ranks": on_clones("SELECT uri, frag_id, off, rk FROM nb"),
     "lcp_values": on_clones("SELECT uri, frag_id, off, CAST(lcp AS BIGINT) AS lcp FROM l WHERE lcp IS NOT NULL"),
     "repeated_ngrams": on_docs("SELECT gram, count(*) AS n FROM (SELECT array_to_string(list_slice(toks, p, p + 4), ' ') AS gram FROM (SELECT toks, unnest(range(1, len(toks) - 3)) AS p FROM lines WHERE len(toks) >= 5)) GROUP BY gram HAVING count(*) > 1"),

@@ -168,6 +168,13 @@ def pos_to_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tk.pos_to_source(spark.range(0, 200_000, 97).withColumnRenamed("id", "pos"), tk.corpus_positions(lines(spark, sf_dir)))
 
 
+@query
+def every_pos_to_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All positions of the corpus; pos_to_source has the first 200,000, as its SQL has."""
+    corpus = tk.corpus_positions(lines(spark, sf_dir))
+    return tk.pos_to_source(corpus.select(F.explode(F.sequence("pos_start", "pos_end")).alias("pos")), corpus, 64)
+
+
 @query
 def suffix_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(spark, sf_dir).select(*suffix.PLACE, F.col("rk").cast("bigint").alias("rk"))

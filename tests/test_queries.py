@@ -22,6 +22,15 @@ def test_query(spark, con, name):
     same(registry.queries()[name](spark, FOLDER), con, registry.oracle_sql()[name])
 
 
+def test_positions_beyond_a_prefix(spark):
+    """As many positions as the corpus has, each once."""
+    folder = "/root/testdata/sf0.01"
+    of = registry.queries()
+    n = of["corpus_positions"](spark, folder).selectExpr("sum(n_tokens + 1) AS n").first().n
+    got = of["every_pos_to_source"](spark, folder).selectExpr("count(*) AS n", "count(DISTINCT pos) AS kinds", "max(pos) AS last").first()
+    assert n > 200_000 and tuple(got) == (n, n, n - 1)
+
+
 def test_entry(spark):
     import __spark_entry__
 
