@@ -10,8 +10,9 @@ Scores become probabilities by a temperature, and a paragraph whose best family
 paragraph holds, or of the paragraph's pairs that the template holds, whichever is higher, has to reach
 CONFIRM. A named family without a confirming template stays a candidate with `confirmed` false.
 
-Only paragraphs that hold one of the trigger words are split into n-grams. Every n-gram with a weight other
-than the constant's has a trigger word in it, so other paragraphs have the constant's score: no licence.
+Only paragraphs that hold one of the trigger words are split into n-grams: the names of licences with their versions
+as they are written in one word (gplv3), and every word of a template that ordinary sentences do not have. Every n-gram
+with a weight other than the constant's has a trigger word in it, so other paragraphs have the constant's score: no licence.
 
 Defined cases: null and wordless texts have no paragraphs and no rows; a paragraph that repeats in a
 document gives a row each time; ties go to the family that is first in order; a null doc_id stays null.
@@ -61,6 +62,18 @@ TEMPLATES = {
         "you should have received a copy of the gnu general public license along with this program",
         "spdx license identifier gpl 3 0 or later",
     ],
+    "AGPL": [
+        "this work is licensed under the gnu affero general public license version 3",
+        "you should have received a copy of the gnu affero general public license along with this program",
+        "spdx license identifier agpl 3 0 or later",
+        "agpl 3 0 or later",
+    ],
+    "Public-Domain": [
+        "this work is in the public domain",
+        "released into the public domain",
+        "dedicated to the public domain",
+        "placed in the public domain",
+    ],
     "LGPL": [
         "licensed under the gnu lesser general public license version 2 1",
         "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
@@ -101,6 +114,16 @@ TEMPLATES = {
         "confidential and proprietary unauthorized copying of this file is strictly prohibited",
     ],
 }
+#: Names that say by themselves what they name, by family; they stand alone, or with a version in the same word.
+NAMES = {
+    "AGPL": ["agpl"], "GPL": ["gpl"], "LGPL": ["lgpl"], "MPL": ["mpl"],
+}
+VERSIONS = ("", "v1", "v2", "v3", "1", "2", "3")
+NOTICES = ("distributed under {} or later", "licensed under the {}", "released under {}", "{} only")
+for _family, _names in NAMES.items():
+    for _name in _names:
+        TEMPLATES[_family] += [n.format(_name + v) for v in VERSIONS for n in NOTICES]
+_BY_NAME = {n.format(name + v) for names in NAMES.values() for name in names for v in VERSIONS for n in NOTICES}
 #: Sentences with such words that grant or name nothing.
 ORDINARY = [
     "he lost his driving license after the accident last year",
@@ -123,12 +146,18 @@ ORDINARY = [
     "the following list is not complete",
     "to the extent possible we answer every question",
 ]
-#: A weight needs one of these words in its n-gram.
-TRIGGERS = (
+_BASE_TRIGGERS = (
     "license licensed licence licenced licenses spdx copyright copyrights warranty warranties permission permitted redistribution redistributions "
     "redistribute unlicense gnu gpl lgpl mpl mozilla mit bsd apache cc cc0 commons attribution sharealike noncommercial noderivatives "
-    "waived unencumbered proprietary confidential unauthorized reserved contributors granted endorse software"
+    "waived unencumbered proprietary confidential unauthorized reserved contributors granted endorse software public domain"
 ).split()
+_NAMED = {n + v: family for family, names in NAMES.items() for n in names for v in VERSIONS}
+_FUNCTION_WORDS = {*"a an and any are as by from have his if in into is it its may no not of on or s so that the their this to under with without you your".split()}
+#: A weight needs one of these words in its n-gram.
+TRIGGERS = sorted(
+    {*_BASE_TRIGGERS, *_NAMED}
+    | {w for texts in TEMPLATES.values() for t in texts for w in t.split() if not w.isdigit() and len(w) > 1} - {w for t in ORDINARY for w in t.split()} - _FUNCTION_WORDS
+)
 
 
 def families() -> list[str]:
@@ -148,15 +177,18 @@ def _examples() -> list[tuple[set[str], str]]:
         for text in texts:
             words = text.split()
             versions = [words]
-            for _ in range(6):
+            for _ in range(0 if text in _BY_NAME else 6):
                 filler = rng.choice(ORDINARY).split()
                 versions.append(filler[: rng.randrange(5)] + words + filler[: rng.randrange(5)])
                 if len(words) > 8:
                     a = rng.randrange(len(words) - 7)
                     versions.append(words[a : a + rng.randrange(8, len(words) - a + 1)])
+            # parts of long notices, as lines break them
+            versions += [words[i : i + 10] for i in range(0, len(words) - 9, 4)] if label != UNKNOWN else []
             out += [(kept, label) for v in versions if (kept := {g for g in grams_of(v) if triggers & set(g.split())}) or label == UNKNOWN]
     # what a single trigger word says by itself
-    out += [({t}, UNKNOWN) for t in TRIGGERS]
+    out += [({t}, UNKNOWN) for t in _BASE_TRIGGERS if t not in _NAMED]
+    out += [({t}, family) for t, family in _NAMED.items()]
     return out
 
 
@@ -202,6 +234,16 @@ def weights() -> tuple[dict[str, dict[str, float]], dict[str, float], float]:
     return {g: {k: round(v, 4) for k, v in row.items()} for g, row in w.items() if row}, {k: round(v, 4) for k, v in constant.items()}, heat
 
 
+def _alternatives(words: list[str]) -> str:
+    """A pattern for any of the words, by their common beginnings."""
+    rest: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            rest.setdefault(w[0], []).append(w[1:])
+    out = "(?:" + "|".join(c + _alternatives(r) for c, r in sorted(rest.items())) + ")" if rest else ""
+    return out + "?" if rest and "" in words else out
+
+
 def _words(paragraph: Column) -> Column:
     return F.filter(F.split(F.lower(paragraph), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
@@ -217,7 +259,7 @@ def scan(documents: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     spark = documents.sparkSession
     weight, constant, heat = weights()
     labels = [*families(), UNKNOWN]
-    trigger = r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(TRIGGERS) + r")(?![\p{L}\p{N}])"
+    trigger = r"(?i)(?<![\p{L}\p{N}])" + _alternatives(TRIGGERS) + r"(?![\p{L}\p{N}])"
     lines = (
         documents.where(F.col("text").rlike(trigger))
         .select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line", "paragraph"))

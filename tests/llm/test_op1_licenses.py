@@ -62,3 +62,10 @@ def test_query_gives_every_document(spark, tmp_path):
     frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted(map(tuple, li.op1_license_scan(spark, str(tmp_path)).collect()), key=repr)
     assert got == [(1, "MIT", "0:MIT", 1, 1), (1, "MIT", "0:MIT", 1, 1), (2, "", "", 0, 0), (None, "", "", 0, 0)]
+
+
+def test_names_written_otherwise(spark):
+    lines = ["Distributed under GPLv3 or later", "AGPL-3.0-or-later", "GPLv2+", "This work is in the public domain", "The public domain of the town is kept in good order"]
+    got = {r.doc_id: (r.family, r.confirmed) for r in li.scan(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")).collect()}
+    assert {i: f for i, (f, _) in got.items()} == {0: "GPL", 1: "AGPL", 2: "GPL", 3: "Public-Domain"}
+    assert all(got[i][1] for i in (0, 1, 3))
