@@ -228,3 +228,12 @@ def test_language_score_does_not_sink_with_length(spark):
     for k, lang in enumerate(model.languages):
         assert {got[10 * k + i].lang_pred for i in (0, 1, 2)} == {lang}
         assert abs(got[10 * k + 1].score - got[10 * k].score) < 0.1 and got[10 * k + 2].score > 0.8
+
+
+def test_every_learnable_label_is_counted(spark):
+    docs, labels = planted(100)
+    pool = toxicity.labelled(frame(spark, docs).where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"), spark.createDataFrame(labels, LABELS), "toxic")
+    ends = toxicity.counted(pool, 80).where(f"second = {toxicity.END} AND first <> {toxicity.SYMBOLS}")
+    got = ends.selectExpr("sum(ordinary)", "sum(toxic)", "sum(rest_ordinary) + sum(rest_toxic)").first()
+    learnable = [t for d, _, t in labels if fold(d) != 0]
+    assert tuple(got[:2]) == (learnable.count(0), learnable.count(1)) and 0 < got[2] < len(learnable)
