@@ -237,3 +237,117 @@ def test_every_learnable_label_is_counted(spark):
     got = ends.selectExpr("sum(ordinary)", "sum(toxic)", "sum(rest_ordinary) + sum(rest_toxic)").first()
     learnable = [t for d, _, t in labels if fold(d) != 0]
     assert tuple(got[:2]) == (learnable.count(0), learnable.count(1)) and 0 < got[2] < len(learnable)
+
+
+def brute_words(labelled, scored):
+    """word_mean, word_top and stem_plus of each text by plain dictionaries; labelled: (text, label)."""
+    import re
+    from collections import Counter
+
+    toks = lambda t: [w for w in re.split("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").lower()) if w]
+    stem = lambda w: w[: toxicity.STEM] if w != "</s>" else w
+    pairs, words, before = [Counter(), Counter()], [Counter(), Counter()], {}
+    for text, k in labelled:
+        ws = toks(text)
+        if not ws:
+            continue
+        for v, w in zip(["<s>", *ws], [*ws, "</s>"]):
+            pairs[k][v, w] += 1
+            words[k][w] += 1
+            before.setdefault(w, set()).add(v)
+    starts = [words[k]["</s>"] for k in (0, 1)]
+    every = {*pairs[0], *pairs[1]}
+    kept = {p for p in every if pairs[0][p] + pairs[1][p] >= toxicity.LEAST}
+
+    def discount(values):
+        values = list(values)
+        one, two = values.count(1), values.count(2)
+        return one / (one + 2 * two) if one else 0.5
+
+    d = [discount([*(pairs[k][p] for p in kept), *[1] * sum(pairs[k][p] for p in every - kept)]) for k in (0, 1)]
+    vocabulary = {*words[0], *words[1]}
+    e = [discount(words[k][w] for w in vocabulary) for k in (0, 1)]
+    members = {}
+    for w in vocabulary:
+        members.setdefault(stem(w), []).append(w)
+    s = [{x: sum(words[k][w] for w in ws) for x, ws in members.items()} for k in (0, 1)]
+    g = [discount(s[k].values()) for k in (0, 1)]
+    sb = {x: sum(len(before[w]) + 1 for w in ws) for x, ws in members.items()}
+    total, all_sb = [sum(x.values()) for x in s], sum(sb.values())
+    back = [g[k] * sum(v > 0 for v in s[k].values()) / total[k] for k in (0, 1)]
+    unknown = math.log(back[1] / back[0])
+    p_stem = lambda k, x: max(s[k][x] - g[k], 0) / total[k] + back[k] * sb[x] / (all_sb + 1)
+    inner = lambda k, x: e[k] * sum(words[k][w] > 0 for w in members[x]) / s[k][x] if s[k][x] else 1.0
+
+    def p_word(k, w):
+        x = stem(w)
+        own = max(words[k][w] - e[k], 0) / s[k][x] if s[k][x] else 0
+        return p_stem(k, x) * (own + inner(k, x) * (len(before[w]) + 1) / (sb[x] + 1))
+
+    def ratio(w):
+        if w in before:
+            return math.log(p_word(1, w) / p_word(0, w))
+        x = stem(w)
+        return math.log(p_stem(1, x) / p_stem(0, x)) + math.log(inner(1, x) / inner(0, x)) if x in members else unknown
+
+    def context(k, v):
+        n = starts[k] if v == "<s>" else words[k][v]
+        held = sum(max(pairs[k][p] - d[k], 0) for p in kept if p[0] == v)
+        return (1 - held / n if n else 1.0), n
+
+    def joint(v, w):
+        """Ratio of w after v."""
+        b = [context(k, v) for k in (0, 1)]
+        if (v, w) in kept:
+            p = [(max(pairs[k][v, w] - d[k], 0) / b[k][1] if b[k][1] else 0) + b[k][0] * p_word(k, w) for k in (0, 1)]
+            return math.log(p[1] / p[0])
+        return math.log(b[1][0] / b[0][0]) + ratio(w)
+
+    out = []
+    for text in scored:
+        ws = toks(text)
+        if not ws:
+            out.append((0.0, 0.0, 0.0))
+            continue
+        chain = list(zip(["<s>", *ws], [*ws, "</s>"]))
+        mean = sum(joint(*p) for p in chain) / len(chain)
+        tops = [ratio(w) for _, w in chain if w in before] + [0.0]  # a text's start has a ratio of 0
+        tops += [joint(v, w) + (ratio(v) if v != "<s>" else 0.0) for v, w in chain if (v, w) in kept]
+        plus = sum(max(math.log(p_stem(1, stem(w)) / p_stem(0, stem(w))) - toxicity.MARGIN, 0) for _, w in chain if stem(w) in members)
+        out.append((mean, max(tops), plus / len(chain)))
+    return out
+
+
+@pytest.mark.parametrize("hot", [1 << 18, 20])
+def test_word_measures_by_the_definition(spark, monkeypatch, hot):
+    """All measures of words against plain dictionaries, with the values looked up and with most of them joined."""
+    monkeypatch.setattr(toxicity, "HOT", hot)
+    docs, labels = planted(60)
+    docs += [(500, None, "en", "s", 1), (501, "ka mo ka mo unheard words", "en", "s", 1), (502, docs[0][1], "en", "s", 1)]
+    label = {d: t for d, _, t in labels}
+    known = [(t, label[d]) for d, t, *_ in docs if d in label and fold(d) != 0]
+    pool = toxicity.labelled(frame(spark, [r for r in docs if fold(r[0]) != 0]), spark.createDataFrame(labels, LABELS), "toxic")
+    counts = toxicity.kept_counts(pool, pool.count())
+    columns = ["ordinary", "toxic"]
+    got = toxicity.measured(frame(spark, docs), toxicity.symbol_model(counts, columns, toxicity.LATIN), *toxicity.word_model(counts, columns), ["doc_id"])
+    got = {r.doc_id: (r.word_mean, r.word_top, r.stem_plus) for r in got.collect()}
+    for (d, *_), want in zip(docs, brute_words(known, [r[1] for r in docs])):
+        assert all(math.isclose(a, b, rel_tol=1e-6, abs_tol=1e-6) for a, b in zip(got[d], want)), (d, got[d], want)
+
+
+def test_length_is_no_measure_of_toxicity(spark):
+    """A text repeated until it is longer than a chunk keeps its score."""
+    docs, labels = planted()
+    some = [r for r in docs if r[0] % 40 == 0]
+    long = [(1000 + r[0], (r[1] + "\n") * (1 + 300_000 // len(r[1])), *r[2:]) for r in some]
+    got = {r.doc_id: r.score for r in toxicity.score(frame(spark, docs + long), spark.createDataFrame(labels, LABELS), ["doc_id"]).collect()}
+    assert all((got[r[0]] >= 0.5) == (got[1000 + r[0]] >= 0.5) for r in some)
+
+
+def test_letters_of_any_script_have_symbols(spark):
+    texts = spark.createDataFrame([("привет мир " * 5,), ("häß 0",), (None,)], "text string")
+    alphabet = toxicity.learned_alphabet(texts)
+    assert set("приветмhäß0") <= set(alphabet)
+    _, a = toxicity.ngrams(["ä"], alphabet)
+    _, b = toxicity.ngrams(["ж"], alphabet)
+    assert a[0] != b[0]
