@@ -246,17 +246,14 @@ def brute_words(labelled, scored):
 
     toks = lambda t: [w for w in re.split("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").lower()) if w]
     stem = lambda w: w[: toxicity.STEM] if w != "</s>" else w
-    pairs, words, before = [Counter(), Counter()], [Counter(), Counter()], {}
+    pairs, words = [Counter(), Counter()], [Counter(), Counter()]
     for text, k in labelled:
         ws = toks(text)
         if not ws:
             continue
-        for v, w in zip(["<s>", *ws], [*ws, "</s>"]):
-            pairs[k][v, w] += 1
-            words[k][w] += 1
-            before.setdefault(w, set()).add(v)
-    starts = [words[k]["</s>"] for k in (0, 1)]
-    every = {*pairs[0], *pairs[1]}
+        pairs[k].update(zip(ws, ws[1:]))
+        words[k].update([*ws, "</s>"])
+    every = {*pairs[1]}
     kept = {p for p in every if pairs[0][p] + pairs[1][p] >= toxicity.LEAST}
 
     def discount(values):
@@ -272,26 +269,25 @@ def brute_words(labelled, scored):
         members.setdefault(stem(w), []).append(w)
     s = [{x: sum(words[k][w] for w in ws) for x, ws in members.items()} for k in (0, 1)]
     g = [discount(s[k].values()) for k in (0, 1)]
-    sb = {x: sum(len(before[w]) + 1 for w in ws) for x, ws in members.items()}
-    total, all_sb = [sum(x.values()) for x in s], sum(sb.values())
+    total = [sum(x.values()) for x in s]
     back = [g[k] * sum(v > 0 for v in s[k].values()) / total[k] for k in (0, 1)]
     unknown = math.log(back[1] / back[0])
-    p_stem = lambda k, x: max(s[k][x] - g[k], 0) / total[k] + back[k] * sb[x] / (all_sb + 1)
+    p_stem = lambda k, x: max(s[k][x] - g[k], 0) / total[k] + back[k] * len(members[x]) / (len(vocabulary) + 1)
     inner = lambda k, x: e[k] * sum(words[k][w] > 0 for w in members[x]) / s[k][x] if s[k][x] else 1.0
 
     def p_word(k, w):
         x = stem(w)
         own = max(words[k][w] - e[k], 0) / s[k][x] if s[k][x] else 0
-        return p_stem(k, x) * (own + inner(k, x) * (len(before[w]) + 1) / (sb[x] + 1))
+        return p_stem(k, x) * (own + inner(k, x) / (len(members[x]) + 1))
 
     def ratio(w):
-        if w in before:
+        if w in vocabulary:
             return math.log(p_word(1, w) / p_word(0, w))
         x = stem(w)
         return math.log(p_stem(1, x) / p_stem(0, x)) + math.log(inner(1, x) / inner(0, x)) if x in members else unknown
 
     def context(k, v):
-        n = starts[k] if v == "<s>" else words[k][v]
+        n = words[k][v]
         held = sum(max(pairs[k][p] - d[k], 0) for p in kept if p[0] == v)
         return (1 - held / n if n else 1.0), n
 
@@ -311,8 +307,8 @@ def brute_words(labelled, scored):
             continue
         chain = list(zip(["<s>", *ws], [*ws, "</s>"]))
         mean = sum(joint(*p) for p in chain) / len(chain)
-        tops = [ratio(w) for _, w in chain if w in before] + [0.0]  # a text's start has a ratio of 0
-        tops += [joint(v, w) + (ratio(v) if v != "<s>" else 0.0) for v, w in chain if (v, w) in kept]
+        tops = [ratio(w) for _, w in chain if w in vocabulary]
+        tops += [joint(v, w) + ratio(v) for v, w in chain if (v, w) in kept]
         plus = sum(max(math.log(p_stem(1, stem(w)) / p_stem(0, stem(w))) - toxicity.MARGIN, 0) for _, w in chain if stem(w) in members)
         out.append((mean, max(tops), plus / len(chain)))
     return out
