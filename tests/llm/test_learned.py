@@ -253,27 +253,27 @@ def brute_words(labelled, scored):
             continue
         pairs[k].update(zip(ws, ws[1:]))
         words[k].update([*ws, "</s>"])
-    every = {*pairs[1]}
-    kept = {p for p in every if pairs[0][p] + pairs[1][p] >= toxicity.LEAST}
+    kept = {p for p, n in pairs[1].items() if n >= toxicity.LEAST}
+    vocabulary = {w for w, n in words[1].items() if n >= toxicity.LEAST}
 
     def discount(values):
         values = list(values)
         one, two = values.count(1), values.count(2)
         return one / (one + 2 * two) if one else 0.5
 
-    d = [discount([*(pairs[k][p] for p in kept), *[1] * sum(pairs[k][p] for p in every - kept)]) for k in (0, 1)]
-    vocabulary = {*words[0], *words[1]}
-    e = [discount(words[k][w] for w in vocabulary) for k in (0, 1)]
-    members = {}
-    for w in vocabulary:
-        members.setdefault(stem(w), []).append(w)
-    s = [{x: sum(words[k][w] for w in ws) for x, ws in members.items()} for k in (0, 1)]
-    g = [discount(s[k].values()) for k in (0, 1)]
-    total = [sum(x.values()) for x in s]
-    back = [g[k] * sum(v > 0 for v in s[k].values()) / total[k] for k in (0, 1)]
+    d = [discount(pairs[0][p] for p in kept), discount(pairs[1].values())]
+    e = [discount(words[0][w] for w in vocabulary), discount(words[1].values())]
+    members, s = {}, [Counter(), Counter()]
+    for k in (0, 1):
+        for w, n in words[k].items():
+            s[k][stem(w)] += n
+            members.setdefault(stem(w), set()).update([w] if w in vocabulary else [])
+    g = [discount(x.values()) for x in s]
+    total, all_types = [sum(x.values()) for x in s], sum(len(ws) + 1 for ws in members.values())
+    back = [g[k] * len(s[k]) / total[k] for k in (0, 1)]
     unknown = math.log(back[1] / back[0])
-    p_stem = lambda k, x: max(s[k][x] - g[k], 0) / total[k] + back[k] * len(members[x]) / (len(vocabulary) + 1)
-    inner = lambda k, x: e[k] * sum(words[k][w] > 0 for w in members[x]) / s[k][x] if s[k][x] else 1.0
+    p_stem = lambda k, x: max(s[k][x] - g[k], 0) / total[k] + back[k] * (len(members[x]) + 1) / (all_types + 1)
+    inner = lambda k, x: 1 - sum(max(words[k][w] - e[k], 0) for w in members[x]) / s[k][x] if s[k][x] else 1.0
 
     def p_word(k, w):
         x = stem(w)
@@ -293,7 +293,7 @@ def brute_words(labelled, scored):
 
     def joint(v, w):
         """Ratio of w after v."""
-        b = [context(k, v) for k in (0, 1)]
+        b = [context(k, v) if v in vocabulary else (1.0, 0) for k in (0, 1)]
         if (v, w) in kept:
             p = [(max(pairs[k][v, w] - d[k], 0) / b[k][1] if b[k][1] else 0) + b[k][0] * p_word(k, w) for k in (0, 1)]
             return math.log(p[1] / p[0])
@@ -307,7 +307,7 @@ def brute_words(labelled, scored):
             continue
         chain = list(zip(["<s>", *ws], [*ws, "</s>"]))
         mean = sum(joint(*p) for p in chain) / len(chain)
-        tops = [ratio(w) for _, w in chain if w in vocabulary]
+        tops = [ratio(w) for _, w in chain if w in vocabulary] or [0.0]
         tops += [joint(v, w) + ratio(v) for v, w in chain if (v, w) in kept]
         plus = sum(max(math.log(p_stem(1, stem(w)) / p_stem(0, stem(w))) - toxicity.MARGIN, 0) for _, w in chain if stem(w) in members)
         out.append((mean, max(tops), plus / len(chain)))
@@ -323,9 +323,9 @@ def test_word_measures_by_the_definition(spark, monkeypatch, hot):
     label = {d: t for d, _, t in labels}
     known = [(t, label[d]) for d, t, *_ in docs if d in label and fold(d) != 0]
     pool = toxicity.labelled(frame(spark, [r for r in docs if fold(r[0]) != 0]), spark.createDataFrame(labels, LABELS), "toxic")
-    counts = toxicity.kept_counts(pool, pool.count())
-    columns = ["ordinary", "toxic"]
-    got = toxicity.measured(frame(spark, docs), toxicity.symbol_model(counts, columns, toxicity.LATIN), *toxicity.word_model(counts, columns), ["doc_id"])
+    found = toxicity.expressions(pool)
+    counts, columns = toxicity.materialize(toxicity.counted(pool, pool.count(), found), "counts"), ["ordinary", "toxic"]
+    got = toxicity.measured(frame(spark, docs), toxicity.symbol_model(counts, columns, toxicity.LATIN), *toxicity.word_model(counts, columns, found.discounts), ["doc_id"])
     got = {r.doc_id: (r.word_mean, r.word_top, r.stem_plus) for r in got.collect()}
     for (d, *_), want in zip(docs, brute_words(known, [r[1] for r in docs])):
         assert all(math.isclose(a, b, rel_tol=1e-6, abs_tol=1e-6) for a, b in zip(got[d], want)), (d, got[d], want)
