@@ -253,8 +253,10 @@ def brute_words(labelled, scored):
             continue
         pairs[k].update(zip(ws, ws[1:]))
         words[k].update([*ws, "</s>"])
-    kept = {p for p, n in pairs[1].items() if n >= toxicity.LEAST}
-    vocabulary = {w for w, n in words[1].items() if n >= toxicity.LEAST}
+    size = [sum(x.values()) for x in words]
+    telling = lambda x, u: x[1][u] >= toxicity.LEAST and x[1][u] * size[0] >= toxicity.RATE * x[0][u] * size[1]
+    kept = {p for p in pairs[1] if telling(pairs, p)}
+    vocabulary = {w for w in words[1] if telling(words, w)} | {w for p in kept for w in p}
 
     def discount(values):
         values = list(values)
