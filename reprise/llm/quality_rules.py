@@ -4,12 +4,17 @@ Each document's measures are taken once. Their distributions are kept as relativ
 (DDSketch, Masson, Rim and Lee 2019): a value's bucket is the power of GAMMA above it, and a sketch is the
 count of each bucket. Sketches of parts add up to the sketch of the whole, so tasks count before the
 shuffle, a language's sketch is the sum of its sources', and any order of tasks gives the same thresholds.
-A threshold lies FENCE interquartile ranges (a measure's least spread at least) beyond the outer quartile
-of the document's language and source; groups under MIN_GROUP documents take their language's sketch, and
-languages under it that of all documents. Documents that fail the base rules are not in the sketches.
-
-Defined cases: null text has no words and fails the base rules; null language and source are groups like
-others; without any document that passes the base rules there are no thresholds; repeated rows count each.
+Every group of language and source has its own sketch, to which PRIOR documents are added that are spread as its language's
+sketch is, and PRIOR_ALL that are spread as that of all documents; so small groups lean on what contains them, large ones do
+not, and no size is treated otherwise. All weights are whole numbers. A threshold lies FENCE interquartile ranges beyond the
+outer quartile. Where a group varies less than a measure's least spread, that is taken: on measures that most documents have
+none of (symbols, repeats, repeated lines) the threshold is then FENCE least spreads above the quartile whatever the group.
+Documents that fail the base rules are not in the sketches.
+
+Defined cases: null, empty and wordless texts have no words and fail the base rules; very long texts are counted whole, and a
+worker holds the longest one; null language and source are groups like others; a value that equals its threshold is kept;
+repeated rows count each; without any document that passes the base rules there are no thresholds, and an empty table gives no
+rows; extra columns have no say, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +34,9 @@ MIN_WORDS = 50
 MAX_REPEATED = 50  # percent
 GAMMA = 1.02
 FENCE = 5.0
-MIN_GROUP = 200
+#: Documents' worth that a group takes from its language and from all documents.
+PRIOR = 50
+PRIOR_ALL = 10
 #: measure: (SQL over the counts, least spread, whether small values are bad too)
 MEASURES = {
     "symbols": ("n_symbols / n_words", 0.05, False),
@@ -112,45 +119,37 @@ def thresholds(measured: DataFrame) -> DataFrame:
         F.array(*[F.struct(F.lit(m).alias("measure"), bucket(F.expr(f"cast({sql.split(' / ')[0]} as double) / {sql.split(' / ')[1]}")).alias("bucket")) for m, (sql, _, _) in MEASURES.items()])
     )
     sketch = passing.select("lang", "source", rows.alias("m")).groupBy("lang", "source", "m.measure", "m.bucket").agg(F.count(F.lit(1)).alias("n"))
-    levels = (
-        sketch.withColumn("level", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-        .withColumn("lang", F.when(F.col("level") < 2, F.col("lang")))
-        .withColumn("source", F.when(F.col("level") < 1, F.col("source")))
-        .groupBy("level", "lang", "source", "measure", "bucket")
-        .agg(F.sum("n").alias("n"))
-    )
-    group = ["level", "lang", "source", "measure"]
-    below = W.partitionBy(*group).orderBy("bucket")
+    sketch = materialize(sketch, "sketch")  # as many rows as groups have buckets
+    whole, by = "decimal(38,0)", ["measure", "bucket"]
+    total = lambda name, *names: sketch.groupBy(*names, "measure").agg(F.sum("n").cast(whole).alias(name))
+    of_all = sketch.groupBy(*by).agg(F.sum("n").alias("n")).join(total("t_all").withColumnRenamed("measure", "m"), F.col("measure") == F.col("m")).drop("m")
+    of_lang = sketch.groupBy("lang", *by).agg(F.sum("n").alias("n")).select(F.col("lang").alias("l"), F.col("measure").alias("m"), "bucket", "n")
+    sizes = total("t_lang", "lang").join(total("t_all").withColumnRenamed("measure", "m"), F.col("measure") == F.col("m")).drop("m")
+    sizes = sizes.select(F.col("lang").alias("l"), F.col("measure").alias("m"), "t_lang", "t_all")
+    of = F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("m"))
+    groups = sketch.select("lang", "source", "measure").distinct().join(sizes, of).drop("l", "m")
+    # shares of the language and of all documents, over one denominator
+    parts = [
+        sketch.join(sizes, of).select("lang", "source", *by, (F.col("n").cast(whole) * F.col("t_lang") * F.col("t_all")).alias("w")),
+        groups.join(of_lang, of).select("lang", "source", *by, (F.col("n").cast(whole) * PRIOR * F.col("t_all")).alias("w")),
+        groups.join(of_all.select(F.col("measure").alias("m"), "bucket", "n"), F.col("measure") == F.col("m")).select("lang", "source", *by, (F.col("n").cast(whole) * PRIOR_ALL * F.col("t_lang")).alias("w")),
+    ]
+    merged = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("lang", "source", *by).agg(F.sum("w").cast(whole).alias("w"))
+    group = ["lang", "source", "measure"]
     value = F.when(F.col("bucket") == -100000, F.lit(0.0)).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bucket")) / (GAMMA + 1))
     quartiles = (
-        levels.withColumn("below", F.sum("n").over(below))
-        .withColumn("total", F.sum("n").over(W.partitionBy(*group)))
+        merged.withColumn("below", F.sum("w").over(W.partitionBy(*group).orderBy("bucket")).cast(whole))
+        .withColumn("total", F.sum("w").over(W.partitionBy(*group)).cast(whole))
         .withColumn("value", value)
         .groupBy(*group)
-        .agg(
-            F.max("total").alias("total"),
-            F.min(F.when(F.col("below") >= 0.25 * F.col("total"), F.col("value"))).alias("q1"),
-            F.min(F.when(F.col("below") >= 0.75 * F.col("total"), F.col("value"))).alias("q3"),
-        )
+        .agg(F.min(F.when(4 * F.col("below") >= F.col("total"), F.col("value"))).alias("q1"), F.min(F.when(4 * F.col("below") >= 3 * F.col("total"), F.col("value"))).alias("q3"))
     )
-    quartiles = materialize(quartiles, "quartiles")  # 5 rows a group
     spread = F.create_map(*[F.lit(x) for m, (_, least, _) in MEASURES.items() for x in (m, least)])
     reach = FENCE * F.greatest(F.col("q3") - F.col("q1"), spread[F.col("measure")])
     fences = quartiles.withColumn("high", F.col("q3") + reach).withColumn("low", F.col("q1") - reach)
-    at = lambda level: fences.where(F.col("level") == level).select(
-        F.col("lang").alias(f"lang{level}"), F.col("source").alias(f"source{level}"), F.col("measure").alias(f"measure{level}"),
-        F.struct("total", "high", "low").alias(f"f{level}"),
-    )
-    own, by_lang, of_all = at(0), at(1), at(2)
-    joined = own.join(by_lang, F.col("lang0").eqNullSafe(F.col("lang1")) & (F.col("measure0") == F.col("measure1"))).join(
-        of_all, F.col("measure0") == F.col("measure2")
-    )
-    chosen = F.when(F.col("f0.total") >= MIN_GROUP, F.col("f0")).when(F.col("f1.total") >= MIN_GROUP, F.col("f1")).otherwise(F.col("f2"))
-    pick = lambda m, side: F.max(F.when(F.col("measure0") == m, F.col(f"f.{side}"))).alias(f"{side}_{m}")
-    return (
-        joined.withColumn("f", chosen)
-        .groupBy("lang0", "source0")
-        .agg(*[pick(m, "high") for m in MEASURES], *[pick(m, "low") for m, (_, _, both) in MEASURES.items() if both])
+    pick = lambda m, side: F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{side}_{m}")
+    return fences.groupBy(F.col("lang").alias("lang0"), F.col("source").alias("source0")).agg(
+        *[pick(m, "high") for m in MEASURES], *[pick(m, "low") for m, (_, _, both) in MEASURES.items() if both]
     )
 
 
@@ -203,16 +202,19 @@ c AS (SELECT d.row, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAS
 f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed FROM c),
 p AS (SELECT * FROM f WHERE NOT base_failed),
 b AS (SELECT lang, source, measure, bucket, count(*) AS n FROM ({measure}) GROUP BY ALL),
-v AS (SELECT 0 AS level, lang, source, measure, bucket, n FROM b UNION ALL SELECT 1, lang, NULL, measure, bucket, n FROM b UNION ALL SELECT 2, NULL, NULL, measure, bucket, n FROM b),
-s AS (SELECT level, lang, source, measure, bucket, sum(n) AS n FROM v GROUP BY ALL),
-k AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total,
+bl AS (SELECT lang, measure, bucket, sum(n) AS n FROM b GROUP BY ALL),
+ba AS (SELECT measure, bucket, sum(n) AS n FROM b GROUP BY ALL),
+sl AS (SELECT lang, measure, sum(n) AS t_lang FROM b GROUP BY ALL),
+sa AS (SELECT measure, sum(n) AS t_all FROM b GROUP BY ALL),
+g AS (SELECT DISTINCT b.lang, b.source, b.measure, t_lang, t_all FROM b JOIN sl ON sl.lang IS NOT DISTINCT FROM b.lang AND sl.measure = b.measure JOIN sa ON sa.measure = b.measure),
+v AS (SELECT b.lang, b.source, b.measure, b.bucket, b.n * t_lang * t_all AS w FROM b JOIN g ON g.lang IS NOT DISTINCT FROM b.lang AND g.source IS NOT DISTINCT FROM b.source AND g.measure = b.measure
+      UNION ALL SELECT g.lang, g.source, g.measure, bl.bucket, bl.n * {PRIOR} * t_all FROM g JOIN bl ON bl.lang IS NOT DISTINCT FROM g.lang AND bl.measure = g.measure
+      UNION ALL SELECT g.lang, g.source, g.measure, ba.bucket, ba.n * {PRIOR_ALL} * t_lang FROM g JOIN ba ON ba.measure = g.measure),
+s AS (SELECT lang, source, measure, bucket, sum(w) AS w FROM v GROUP BY ALL),
+k AS (SELECT *, sum(w) OVER (PARTITION BY lang, source, measure ORDER BY bucket) AS below, sum(w) OVER (PARTITION BY lang, source, measure) AS total,
              CASE WHEN bucket = -100000 THEN 0.0::DOUBLE ELSE 2 * pow({GAMMA}::DOUBLE, bucket) / ({GAMMA}::DOUBLE + 1) END AS value FROM s),
-q AS (SELECT level, lang, source, measure, max(total) AS total, min(value) FILTER (below >= 0.25 * total) AS q1, min(value) FILTER (below >= 0.75 * total) AS q3 FROM k GROUP BY ALL),
-fence AS (SELECT *, q3 + {FENCE} * greatest(q3 - q1, {spread}) AS high, q1 - {FENCE} * greatest(q3 - q1, {spread}) AS low FROM q),
-t AS (SELECT a.lang, a.source, a.measure, CASE WHEN a.total >= {MIN_GROUP} THEN a.high WHEN m.total >= {MIN_GROUP} THEN m.high ELSE z.high END AS high,
-             CASE WHEN a.total >= {MIN_GROUP} THEN a.low WHEN m.total >= {MIN_GROUP} THEN m.low ELSE z.low END AS low
-      FROM fence a JOIN fence m ON m.level = 1 AND m.lang IS NOT DISTINCT FROM a.lang AND m.measure = a.measure JOIN fence z ON z.level = 2 AND z.measure = a.measure
-      WHERE a.level = 0)
+q AS (SELECT lang, source, measure, min(value) FILTER (4 * below >= total) AS q1, min(value) FILTER (4 * below >= 3 * total) AS q3 FROM k GROUP BY ALL),
+t AS (SELECT lang, source, measure, q3 + {FENCE} * greatest(q3 - q1, {spread}) AS high, q1 - {FENCE} * greatest(q3 - q1, {spread}) AS low FROM q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({beyond}) AS kept FROM f AS c
 """
 

@@ -275,3 +275,21 @@ def test_no_items_or_no_documents(spark):
     none = spark.createDataFrame([], ITEMS)
     assert {(r.n_hit, r.contaminated) for r in decontaminate.contamination(frame(spark), none, ["doc_id"]).collect()} == {(0, False)}
     assert decontaminate.contamination(frame(spark, []), spark.createDataFrame([(1, "a b")], ITEMS), ["doc_id"]).count() == 0
+
+
+def test_every_group_has_its_own_thresholds(spark):
+    """A group's sketch counts at every size: the more of its documents there are, the further its thresholds are from its language's."""
+    from pyspark.sql import functions as F
+
+    kinds = "doc_id bigint, lang string, source string, " + ", ".join(f"{c} bigint" for c in quality_rules.COUNTS)
+    text = lambda i, size: " ".join(f"{k:0{size + (i + k) % 3}d}" for k in range(60))
+    base = [(i, text(i, 5), "en", "long ago", 1) for i in range(200)]
+    far = []
+    for n in (2, 30, 150):
+        rows = base + [(1000 + i, text(i, 9), "en", "other", 1) for i in range(n)]
+        measured = frame(spark, rows).select("doc_id", "lang", "source", "text").mapInArrow(quality_rules._measure, kinds)
+        got = {r.source0: (r.low_word_length, r.high_word_length) for r in quality_rules.thresholds(measured).collect()}
+        assert set(got) == {"long ago", "other"}
+        far.append(got["other"] != got["long ago"])
+        low, high = got["other"]
+    assert far == [False, True, True] and low > 6 and got["long ago"][1] < high
