@@ -433,16 +433,13 @@ def scan(documents: DataFrame, doc_id: str = "doc_id") -> DataFrame:
         .groupBy("doc_id", "text_key", "paragraph", "row", "n")
         .agg(*[F.sum(F.element_at("w", i + 1)).alias(f"z{i}") for i in range(len(labels))], F.flatten(F.collect_list("templates")).alias("held"))
     )
-    p = [F.exp((F.col(f"z{i}") + constant[k] - F.col("top")) / heat) for i, k in enumerate(labels)]
-    z = z.withColumn("top", F.greatest(*[F.col(f"z{i}") + constant[k] for i, k in enumerate(labels)]))
-    total = sum(p[1:], p[0])
-    best = F.greatest(*[F.struct((x / total).alias("p"), F.lit(-i).alias("i")) for i, x in enumerate(p)])
-    z = z.withColumn("best", best).select(
-        "doc_id", "text_key", "paragraph", "n", "held", F.element_at(F.array(*[F.lit(k) for k in labels]), 1 - F.col("best.i")).alias("best"), F.col("best.p").alias("probability")
-    )
+    z = z.select("doc_id", "text_key", "paragraph", "n", "held", F.array(*[F.col(f"z{i}") + constant[k] for i, k in enumerate(labels)]).alias("z"))
+    z = z.withColumn("top", F.array_max("z"))
+    z = z.withColumn("best", F.element_at(F.array(*[F.lit(k) for k in labels]), F.array_position("z", F.col("top")).cast("int"))).where(F.col("best") != NONE)
+    z = z.withColumn("probability", 1 / F.aggregate("z", F.lit(0.0), lambda total, x: total + F.exp((x - F.col("top")) / heat)))
     own = F.create_map(*[x for f in named for x in (F.lit(f), F.array(*[F.struct(F.lit(k).alias("k"), F.lit(len(pairs)).alias("size")) for k, (g, pairs) in enumerate(templates) if g == f]))])
     shares = F.transform(F.element_at(own, F.col("best")), lambda t: F.size(F.filter("held", lambda k: k == t["k"])) / F.least(F.col("n"), t["size"]))
-    z = z.where(F.col("best") != NONE).withColumn("share", F.when(F.col("n") > 0, F.coalesce(F.array_max(shares), F.lit(0.0))).otherwise(0.0))
+    z = z.withColumn("share", F.when(F.col("n") > 0, F.coalesce(F.array_max(shares), F.lit(0.0))).otherwise(0.0))
     sure = (F.col("best") != UNKNOWN) & (F.col("probability") >= UNKNOWN_BELOW)
     return z.select(
         "doc_id", "text_key", "paragraph", F.when(sure, F.col("best")).otherwise(UNKNOWN).alias("family"),
