@@ -192,13 +192,13 @@ def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def may_match(rows: DataFrame, key: Column, cells: DataFrame, log2: int) -> DataFrame:
-    """The rows whose key may be in the bitmap; its size is fixed, so it can be broadcast."""
+def may_match(rows: DataFrame, key: Column, cells: DataFrame, log2: int, whether: bool = True) -> DataFrame:
+    """The rows whose key may be in the bitmap, or those whose key is not; its size is fixed, so it can be broadcast."""
     slot = F.shiftrightunsigned(key, 64 - log2)
     held = cells.select(F.col("cell").alias("_cell"), F.col("bits").alias("_bits"))
     keyed = rows.withColumn("_slot", slot)
     hit = F.expr("(shiftrightunsigned(_bits, cast(_slot & 63 as int)) & 1) = 1")
-    return keyed.join(F.broadcast(held), (F.shiftright("_slot", 6) == F.col("_cell")) & hit, "left_semi").drop("_slot")
+    return keyed.join(F.broadcast(held), (F.shiftright("_slot", 6) == F.col("_cell")) & hit, "left_semi" if whether else "left_anti").drop("_slot")
 
 
 def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:

@@ -8,14 +8,17 @@ What is sent to all tasks has a fixed size: a bitmap of 2**BITMAP_LOG2 bits over
 fingerprints. It only spares the join rows that cannot match, so a larger benchmark costs rows, not
 results. Only documents with a fingerprint in the bitmap carry their text past the first pass.
 
-Defined cases: null or wordless texts have no words and no hits; an item with fewer than 13 words is
-one window of its own length; items without words match nothing; an item row without an id marks
-words as hit but is not counted or listed; repeated documents are judged row by row.
+Items with the same windows are one set: a document gets each candidate set once, and the ids of a set's items
+are joined to what the set hit. A hot fingerprint is in many documents' rows, never many documents in one row.
+
+Defined cases: null, empty or wordless texts have no words and no hits; very long texts are searched whole, and a worker holds
+the longest one; an item with fewer than 13 words is one window of its own length; items without words match nothing; an item
+row without an id marks words as hit but is not counted or listed; item rows that share an id are one item; repeated documents are
+judged row by row; without documents there are no rows, and without items no hits; extra columns have no say, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,38 +129,32 @@ def _documents(bitmap, sizes: list[int]):
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks the words of every occurrence of the candidate items' windows."""
+    """Marks the words of every occurrence of the candidate sets' windows; the sets that occur."""
     for batch in batches:
-        hits, ids = [], []
-        for text, items in zip(batch.column("text").to_pylist(), batch.column("items"), strict=True):
-            marked, named = 0, set()
-            if items.is_valid:
-                words = Words([text], plain=True)
+        hits, found = [], []
+        for text, sets in zip(batch.column("text"), batch.column("sets"), strict=True):
+            marked, keys = 0, []
+            if sets.is_valid:
+                words = Words([text.as_py()], plain=True)
                 mark = np.zeros(len(words.starts) + 1, dtype=np.int64)
-                names, sizes = items.values.field("item"), items.values.field("size").to_numpy()
-                wins = items.values.field("wins")
+                names, sizes, wins = (sets.values.field(c) for c in ("key", "size", "wins"))
+                names, sizes = names.to_numpy(), sizes.to_numpy()
                 flat, lengths = wins.flatten().to_numpy().view(np.uint64), np.diff(wins.offsets.to_numpy())
                 owner = np.repeat(np.arange(len(sizes)), lengths)
+                there = np.zeros(len(sizes), dtype=bool)
                 for size in np.unique(sizes):
                     h = windows(words.hashes, int(size))
                     of = sizes[owner] == size
                     at = np.flatnonzero(np.isin(h, flat[of]))
                     mark[at] += 1
                     mark[at + size] -= 1
-                    there = of & np.isin(flat, h)
-                    named.update(x for i in np.unique(owner[there]) if (x := names[int(i)].as_py()) is not None)
+                    there[owner[of & np.isin(flat, h)]] = True
+                keys = names[there]
                 marked = int((np.cumsum(mark) > 0).sum())
             hits.append(marked)
-            ids.append(sorted(named))
+            found.append(keys)
         yield pa.RecordBatch.from_arrays(
-            [
-                *(batch.column(c) for c in range(batch.num_columns - 2)),
-                pa.array(hits, pa.int64()),
-                pa.array([len(x) for x in ids], pa.int64()),
-                pa.array(ids, pa.list_(pa.string())),
-                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids], pa.string()),
-            ],
-            [*batch.schema.names[:-2], "n_hit", "n_items", "items", "items_sha256"],
+            [batch.column("row"), pa.array(hits, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["row", "n_hit", "keys"]
         )
 
 
@@ -184,23 +181,29 @@ def contamination(documents: DataFrame, benchmark: DataFrame, keep: list[str], i
         _documents(spark.sparkContext.broadcast(bits), short), f"row bigint, {kinds}, n_words bigint, prints array<bigint>, text string"
     )
     docs = materialize(docs, "prints")
-    keyed = items.select(F.xxhash64("item", "size", "wins").alias("key"), "item", "size", "wins", "prints")
-    pairs = (
+    keyed = items.select(F.xxhash64("size", "wins").alias("key"), "item", "size", "wins", "prints")
+    sets = materialize(keyed.drop("item").dropDuplicates(["key"]), "sets")
+    candidates = (
         docs.select("row", F.explode("prints").alias("print"))
-        .join(keyed.select("key", F.explode("prints").alias("print")), "print")
+        .join(sets.select("key", F.explode("prints").alias("print")), "print")
         .select("row", "key")
         .distinct()
-        .join(keyed.select("key", "item", "size", "wins").dropDuplicates(["key"]), "key")
+        .join(sets.select("key", "size", "wins"), "key")
         .groupBy("row")
-        .agg(F.collect_list(F.struct("item", "size", "wins")).alias("items"))
+        .agg(F.collect_list(F.struct("key", "size", "wins")).alias("sets"))
     )
-    out = (
-        docs.drop("prints")
-        .join(pairs, "row", "left")
-        .select(*keep, "n_words", "text", "items")
-        .mapInArrow(_extend, f"{kinds}, n_words bigint, n_hit bigint, n_items bigint, items array<string>, items_sha256 string")
+    texts = docs.where(F.col("text").isNotNull()).select("row", "text")
+    hits = texts.join(candidates, "row").select("row", "text", "sets").mapInArrow(_extend, "row bigint, n_hit bigint, keys array<bigint>")
+    hits = materialize(hits.where("n_hit > 0"), "hits")
+    ids = keyed.where(F.col("item").isNotNull()).groupBy("key").agg(F.collect_set("item").alias("ids"))
+    named = hits.select("row", F.explode("keys").alias("key")).join(ids, "key").groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("items"))
+    found = hits.select("row", "n_hit").join(named, "row", "left")
+    out = docs.drop("prints", "text").join(found, "row", "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("bigint")))
+    out = out.withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    return out.select(
+        *keep, "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,9 +10,13 @@ full sets of n-gram hashes. A cluster is dealt into blocks of bounded size and e
 of blocks, so a cluster of any size is spread over many tasks. A task hands on, for each member, the
 number of its links and one link to the smallest member that it is connected to, never the pairs.
 
-Defined cases: a text with fewer than `size` words is one n-gram of all its words; null and wordless texts
-have no n-grams and are linked to nothing; repeated rows are copies; a null doc_id takes part like any
-other and is never chosen as a class id unless all ids of its class are null.
+Only texts that may be a cluster's members are shuffled: a bitmap of fixed size over the members keeps most others back.
+
+Defined cases: a text with fewer than `size` words is one n-gram of all its words; null, empty and wordless texts
+have no n-grams and are linked to nothing; very long texts are compared whole, and a worker holds the longest one; repeated rows
+are copies; ties between ids of a class go to the smallest, and between texts of one id to the smallest key; a null doc_id takes
+part like any other and is never chosen as a class id unless all ids of its class are null; an empty table gives no rows; extra
+columns have no say, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reprise.llm.common import Words, chunks, list_array, materialize, mix, shingles, table
+from reprise.llm.common import Words, bitmap_cells, chunks, list_array, materialize, may_match, mix, shingles, table
 
 SIZE = 5
 SIMILARITY = 0.8
@@ -38,6 +42,7 @@ BLOCK_GRAMS = 1_000_000
 BLOCK_DOCS = 2048
 #: N-grams in more of a task's documents than this are counted by matrix product, others pair by pair.
 DENSE = 64
+MEMBER_BITS = 25
 STRIPE = 256
 
 
@@ -297,8 +302,10 @@ def jaccard_classes(documents: DataFrame, similarity: float = SIMILARITY, size:
         F.greatest(F.ceil(F.sum("grams") / BLOCK_GRAMS), F.ceil(F.count(F.lit(1)) / BLOCK_DOCS)).cast("bigint").alias("blocks")
     )
     members = clusters.join(totals, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    members = materialize(members, "members")
+    cells = bitmap_cells(members, F.xxhash64("text_key"), MEMBER_BITS)
     texts = (
-        docs.join(
+        may_match(docs, F.xxhash64("text_key"), cells, MEMBER_BITS).join(
             members.select(F.col("text_key").alias("of"), "first_id", "cluster", "node", "copies", "block", "blocks"),
             (F.col("text_key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id")),
         )

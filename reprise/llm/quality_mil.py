@@ -4,12 +4,15 @@ A document is a bag of passages of PASSAGE words; every passage of the whole tex
 input is SURFACE measures (shares of character kinds, word lengths, repetition) and a histogram of hashed
 character pairs and word shapes. The encoder is one tanh layer, the gated attention weighs the passages,
 and the weighted sum is scored by a logistic unit. Only document labels train it, by Adam on mini-batches
-of bags, on at most about SAMPLE labelled documents chosen by a hash of their ids; the scores are
-calibrated on a part of them that the weights have not seen. The model has a fixed size.
-
-Defined cases: a text without words (null too) is one passage of zeros and gets the same score each time;
-with labels of one kind or none at all every score is their mean, or 0.5; several labels of one document
-count as the lowest; rows with a null id are scored and never learned from.
+of bags, on at most about SAMPLE labelled documents chosen by a hash of their ids, of each of which BAG passages are learned
+from, evenly over the whole text, so that what the driver holds is bounded (about SAMPLE x BAG x INPUT half floats); the scores are
+calibrated on a part of them that the weights have not seen. The model has a fixed size. Scoring sees every passage.
+
+Defined cases: a text without words (null and empty too) is one passage of zeros and gets the same score each time; very long
+texts are scored whole, and a worker holds the longest one; with labels of one kind or none at all every score is their mean, or
+0.5; an empty table of documents gives no rows; several labels of one document count as the lowest; of rows that share an id the
+smallest text is learned from; repeated rows are scored each; extra columns have no say, whatever their names; rows with a null id
+are scored and never learned from.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from reprise.llm.common import Words, carry, chunks, fold, held_out, table
 PASSAGE = 64
 #: Labelled documents that the model is fitted on, about.
 SAMPLE = 6000
+#: Passages of a document that are learned from.
+BAG = 48
 PAIRS = 192
 SURFACE = 18
 INPUT = SURFACE + PAIRS
@@ -195,7 +200,8 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, texts in chunks(batch):
             x, count = passages(texts)
             ends = np.cumsum(count)
-            rows = [x[e - n : e].astype(np.float16).tobytes() for e, n in zip(ends, count, strict=True)]
+            some = [e - n + np.arange(min(n, BAG)) * n // min(n, BAG) for e, n in zip(ends, count, strict=True)]
+            rows = [x[at].astype(np.float16).tobytes() for at in some]
             yield pa.RecordBatch.from_arrays([batch.column("label").slice(a, b - a), pa.array(rows, pa.binary())], ["label", "bag"])
 
 
@@ -213,6 +219,7 @@ def train(documents: DataFrame, labels: DataFrame, column: str = "quality") -> M
     sample = known.where(place < int(SAMPLE / max(SAMPLE, total) * (1 << 20))).select(F.col("doc_id").alias("of"), "label")
     # SAMPLE rows of two numbers, about
     chosen = documents.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("of"))
+    chosen = chosen.groupBy("of").agg(F.first("label").alias("label"), F.min("text").alias("text"))
     rows = chosen.select("text", "label").mapInArrow(_bags, "label int, bag binary").collect()
     rows = sorted((r["label"], bytes(r["bag"])) for r in rows)  # the order of tasks has no say
     bags = [np.frombuffer(b, dtype=np.float16).reshape(-1, INPUT).astype(np.float32) for _, b in rows]

@@ -6,11 +6,16 @@ follows, so the distinct pre-tokens of a chunk go into a trie and each node (a s
 once, a depth at a time for all pre-tokens together. Terminal nodes keep the number of pieces, and a
 document's count is the sum over its pre-tokens. A worker remembers up to KNOWN pre-tokens between chunks.
 
-The pieces come from a public vocabulary file, read by the driver only. Its ranks give the scores: piece r
-has the log-probability of rank r under Zipf's law. A character without a piece costs its UTF-8 bytes.
+Pre-tokens of more than LONGEST characters, which share no more than that with others in practice, are paths of their own:
+the pieces that end at each of a path's nodes are found for all nodes at once, and the same recurrence runs along the path.
 
-Defined cases: null and wordless texts have no tokens; equal scores go to the segmentation with fewer
-pieces; repeated rows are counted each.
+The pieces come from a public vocabulary file whose path is a parameter, read by the driver only. Such files hold ranks, not
+probabilities, and tokenizers are not trained here, so the ranks give the scores: piece r has the log-probability of rank r
+under Zipf's law. A character without a piece costs its UTF-8 bytes.
+
+Defined cases: null, empty and wordless texts have no tokens; very long texts and pre-tokens are counted whole, and a worker holds
+the longest text; equal scores go to the segmentation with fewer pieces; repeated rows are counted each; an empty table gives no
+rows; extra columns have no say, whatever their names; a missing vocabulary file is an error.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from reprise.llm.common import Words, carry, chunks, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Pre-tokens that a worker remembers, and the longest that goes through the trie.
+#: Pre-tokens that a worker remembers, and the longest that share nodes.
 KNOWN = 2_000_000
 LONGEST = 256
 _B = 0x9E3779B97F4A7C15
@@ -36,7 +41,7 @@ _M = (1 << 64) - 1
 
 @dataclass
 class Vocabulary:
-    """Hashes of the pieces, sorted, and their scores; scores by text for long pre-tokens."""
+    """Hashes of the pieces, sorted, and their scores; scores by text too."""
 
     key: int
     hashes: np.ndarray
@@ -54,8 +59,12 @@ def _hash(piece: str) -> int:
 
 
 def vocabulary(path: str = VOCABULARY) -> Vocabulary:
+    import os
+
     import sentencepiece
 
+    if not os.path.isfile(path):
+        raise FileNotFoundError(f"no vocabulary file at {path}: give the path of a sentencepiece model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     names = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i))]
     total = np.log((1 / np.arange(1, len(names) + 1)).sum())
@@ -69,18 +78,34 @@ def vocabulary(path: str = VOCABULARY) -> Vocabulary:
     return Vocabulary(hash((path, len(plain))), hashes[order], np.array(list(plain.values()))[order], max(map(len, plain)), byte, plain)
 
 
-def count_pieces(word: str, v: Vocabulary) -> int:
-    """Pieces of the best segmentation of one pre-token, for those too long for the trie."""
-    best = [(0.0, 0)]
-    for end, c in enumerate(word, 1):
-        size = len(c.encode("utf-8", "surrogatepass"))
-        found = (best[end - 1][0] + size * v.byte, best[end - 1][1] - size)
-        for start in range(max(0, end - v.longest), end):
-            s = v.pieces.get(word[start:end])
-            if s is not None:
-                found = max(found, (best[start][0] + s, best[start][1] - 1))
-        best.append(found)
-    return -best[-1][1]
+def path_count(codes: np.ndarray, v: Vocabulary) -> int:
+    """Pieces of the best segmentation of MARK + codes, as one path of a trie."""
+    char = np.r_[ord(MARK), codes].astype(np.int64)
+    n = len(char)
+    size = 1 + (char >= 0x80) + (char >= 0x800) + (char >= 0x10000)
+    step = (char + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    tails, ends, lengths, scores = np.zeros(n, dtype=np.uint64), [], [], []
+    for k in range(1, min(n, v.longest) + 1):
+        # hashes of the k characters that end at each node from the k-th on
+        tails = tails[:-1] * np.uint64(_B) + step[k - 1 :] if k > 1 else step
+        at = np.minimum(np.searchsorted(v.hashes, tails), len(v.hashes) - 1)
+        hit = np.flatnonzero(v.hashes[at] == tails)
+        ends.append(hit + k)
+        lengths.append(np.full(len(hit), k))
+        scores.append(v.scores[at[hit]])
+    end, length, score = (np.concatenate(x) for x in (ends, lengths, scores))
+    order = np.lexsort((length, end))
+    first = np.searchsorted(end[order], np.arange(1, n + 2)).tolist()
+    length, score, size = length[order].tolist(), score[order].tolist(), size.tolist()
+    best, pieces = [0.0] * (n + 1), [0] * (n + 1)
+    for e in range(1, n + 1):
+        top, least = best[e - 1] + size[e - 1] * v.byte, pieces[e - 1] + size[e - 1]
+        for i in range(first[e - 1], first[e]):
+            s, p = best[e - length[i]] + score[i], pieces[e - length[i]] + 1
+            if s > top or (s == top and p < least):
+                top, least = s, p
+        best[e], pieces[e] = top, least
+    return pieces[n]
 
 
 def trie_counts(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, v: Vocabulary) -> np.ndarray:
@@ -146,8 +171,7 @@ def word_counts(words: Words, v: Vocabulary) -> np.ndarray:
     fresh = np.zeros(len(missing), dtype=np.int64)
     fresh[~long] = trie_counts(words.codes, starts[~long], ends[~long], v)
     for i in np.flatnonzero(long):
-        text = words.codes[starts[i] : ends[i]].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-        fresh[i] = count_pieces(MARK + text, v)
+        fresh[i] = path_count(words.codes[starts[i] : ends[i]], v)
     found[missing] = fresh
     if len(missing):
         hashes, counts = distinct[missing], fresh
@@ -181,4 +205,4 @@ def count_tokens(documents: DataFrame, keep: list[str], path: str = VOCABULARY)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"), ["doc_id"])
+    return count_tokens(table(spark, sf_dir, "documents"), ["doc_id"], VOCABULARY)

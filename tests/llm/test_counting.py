@@ -41,6 +41,43 @@ def best_by_search(word, v):
     return -best(0)[1]
 
 
+def count_pieces(word, v):
+    """Pieces of the best segmentation, a character at a time."""
+    best = [(0.0, 0)]
+    for end, c in enumerate(word, 1):
+        size = len(c.encode())
+        found = (best[end - 1][0] + size * v.byte, best[end - 1][1] - size)
+        for start in range(max(0, end - v.longest), end):
+            if word[start:end] in v.pieces:
+                found = max(found, (best[start][0] + v.pieces[word[start:end]], best[start][1] - 1))
+        best.append(found)
+    return -best[-1][1]
+
+
+def test_long_pre_tokens_by_search():
+    """Words beyond and around the longest that share nodes, whole texts without a blank, and more than a chunk of them."""
+    import time
+
+    import numpy as np
+
+    v, rng = token_counts.vocabulary(), random.Random(8)
+    texts = ["x" * n for n in (255, 256, 257, 400)] + ["".join(rng.choice("日本語のテキスト") for _ in range(700)), "".join(rng.choice("abcdethising0123") for _ in range(3000))]
+    for text in texts:
+        assert token_counts.word_counts(Words([text]), v).tolist() == [count_pieces(token_counts.MARK + text, v)]
+    for text in texts[:4]:
+        w = Words([text])
+        assert token_counts.path_count(w.codes[: len(text)], v) == token_counts.trie_counts(w.codes, w.starts, w.ends, v)[0]
+    long = np.array([rng.randrange(97, 123) for _ in range(300_000)], dtype=np.uint32)
+    start = time.time()
+    assert token_counts.path_count(long, v) == count_pieces(token_counts.MARK + "".join(map(chr, long)), v)
+    assert time.time() - start < 60
+
+
+def test_a_missing_vocabulary_is_an_error():
+    with pytest.raises(FileNotFoundError, match="no vocabulary file"):
+        token_counts.vocabulary("/nowhere/piece.model")
+
+
 def test_trie_counts_by_search():
     v = token_counts.vocabulary()
     rng = random.Random(3)
@@ -50,7 +87,7 @@ def test_trie_counts_by_search():
         w = Words([t])
         got = token_counts.word_counts(w, v)
         for word, n in zip(words(t), got.tolist(), strict=True):
-            assert n == token_counts.count_pieces(token_counts.MARK + word, v)
+            assert n == count_pieces(token_counts.MARK + word, v)
             if len(word) < 60:
                 assert n == best_by_search(token_counts.MARK + word, v), word
 
@@ -60,7 +97,7 @@ def test_token_counts_of_awkward_rows(spark):
     rows = awkward()
     got = bag(token_counts.count_tokens(frame(spark, rows, extra=True).drop("n_words"), ["doc_id"]), "doc_id", "n_words", "n_tokens")
     known = {}
-    count = lambda w: known.setdefault(w, token_counts.count_pieces(token_counts.MARK + w, v))
+    count = lambda w: known.setdefault(w, count_pieces(token_counts.MARK + w, v))
     assert got == sorted(((r[0], len(words(r[1])), sum(map(count, words(r[1])))) for r in rows), key=repr)
     assert token_counts.count_tokens(frame(spark, []), ["doc_id"]).count() == 0
 
