@@ -2,6 +2,11 @@
 
 The first four stages return the columns of `documents` for the rows that stay; the last one returns the
 mix. Learned stages are fitted on what they are given, with the labels of the whole corpus.
+
+Defined cases, of every stage unless it says otherwise: null, empty and wordless texts are judged like others by the first stage
+and go in the second, as they have no letter; very long texts are judged whole; ties are those of the stage's operator; repeated
+rows are judged each; a null doc_id is like any other, but is never learned from; an empty table gives an empty one; extra
+columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,12 +19,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reprise.llm import decontaminate, langid, mixing, neardup, quality_mil
-from reprise.llm.common import materialize, table
+from reprise.llm.common import bitmap_cells, materialize, may_match, table
 
 #: Documents whose language has less than this score, or that have no letter, go.
 MIN_LANGUAGE_SCORE = 0.5
 
 
+#: Bits of the bitmaps that keep rows which are sure to stay out of a shuffle, as a power of two.
+BITS = 25
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -34,6 +42,17 @@ def filtering(stage: Stage) -> Stage:
     return run
 
 
+def without(keyed: DataFrame, goes: DataFrame) -> DataFrame:
+    """The rows of keyed (doc_id, text_key) whose id and key are not in goes (of_id, of_key).
+
+    What goes grows with the documents, so it is never broadcast; a bitmap of fixed size tells which rows need the join at all.
+    """
+    cells = bitmap_cells(goes, F.xxhash64("of_id", "of_key"), BITS)
+    some = lambda whether: may_match(keyed, F.xxhash64("doc_id", "text_key"), cells, BITS, whether)
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key"))
+    return some(False).unionByName(some(True).join(goes.hint("merge"), same, "left_anti"))
+
+
 @filtering
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
@@ -51,7 +70,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @filtering
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near duplicates: one with the smallest doc_id."""
+    """Keeps one document of each class of near duplicates: one with the smallest doc_id, and of its rows with equal ids and texts
+    the first by the other columns. Documents without words have no near duplicates and stay."""
     classes = materialize(neardup.jaccard_classes(docs).where("grams > 0"), "classes")
     chosen = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("class_text"))
     ids = [F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")]
@@ -61,10 +81,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     again = materialize(special.where("stays"), "again")
     keyed = docs.withColumn("text_key", neardup.text_key())
     same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key"))
-    # what goes grows with the documents, so it is never broadcast, and the plan is the same at every size
-    once = keyed.join(special.hint("merge"), same, "left_anti")
+    once = without(keyed, special.select("of_id", "of_key"))
     first = W.partitionBy("of_id", "of_key").orderBy(*[F.col(c) for c in docs.columns if c != "text"])
-    repeated = keyed.join(again, same).withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    repeated = may_match(keyed, F.xxhash64("doc_id", "text_key"), bitmap_cells(again, F.xxhash64("of_id", "of_key"), BITS), BITS).join(again, same).withColumn("nth", F.row_number().over(first)).where("nth = 1")
     return once.select(*docs.columns).unionByName(repeated.select(*docs.columns))
 
 
@@ -75,8 +94,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     judged = decontaminate.contamination(keyed, table(spark, sf_dir, "benchmark"), ["doc_id", "text_key"])
     goes = judged.where("contaminated").select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")).distinct()
     goes = materialize(goes, "contaminated")
-    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key"))
-    return keyed.join(goes, same, "left_anti").select(*docs.columns)
+    return without(keyed, goes).select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
