@@ -25,7 +25,7 @@ def detect(documents: DataFrame, config: CloneConfig) -> DataFrame:
 
 def detect_lines(documents: DataFrame, threshold: int, text: str = "text") -> DataFrame:
     """The same for prose: fragments are lines, tokens are words."""
-    lines = fr.line_fragments(documents, text)
+    lines = suffix.prepared(fr.line_fragments(documents, text), threshold)  # with their texts: all clones are in these
     return materialize(fr.line_ranges(suffix.clones(lines, threshold), lines), "clones")
 
 

@@ -25,48 +25,64 @@ KEY = ("seed_hi", "seed_lo")
 PLACE = ("uri", "frag_id", "off")
 
 
-def _prints(toks: Column, threshold: int) -> Column:
+def _hashes(toks: Column) -> Column:
+    """A hash of each token: what follows hashes runs of these, not of texts."""
+    return F.transform(toks, lambda t: F.xxhash64(t))
+
+
+def _prints(hashes: Column, threshold: int) -> Column:
     """For each seed of the fragment its print: struct of the least hash in it and that hash's place."""
     gram = max(1, threshold // 2)
     width = threshold - gram + 1
     grams = lambda t: F.transform(F.sequence(F.lit(0), F.size(t) - gram), lambda i: F.struct(F.xxhash64(F.slice(t, i + 1, gram)).alias("h"), i.alias("at")))
     least = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.array_min(F.slice(h, i + 1, width)))
-    return let(toks, lambda t: let(grams(t), least))
+    return let(hashes, lambda t: let(grams(t), least))
 
 
-def _once(prints: Column) -> Column:
-    """Each print once: their places never go back from one seed to the next, so equal ones are side by side."""
-    return let(prints, lambda p: F.filter(p, lambda x, i: (i == 0) | (x["at"] != F.get(p, i - 1)["at"])))
+def _spans(prints: Column) -> Column:
+    """Each print once, with the first and the last seed that have it: places never go back, so equal ones are side by side."""
+    first = lambda p: F.filter(F.transform(p, lambda x, i: F.struct(x["h"].alias("h"), x["at"].alias("at"), i.alias("first"))), lambda x, i: (i == 0) | (x["at"] != F.get(p, i - 1)["at"]))
+    both = lambda p, f: F.transform(f, lambda x, i: F.struct(x["h"].alias("h"), x["first"].alias("first"), (F.coalesce(F.get(f, i + 1)["first"], F.size(p)) - 1).alias("last")))
+    return let(prints, lambda p: let(first(p), lambda f: both(p, f)))
 
 
 def candidates(fragments: DataFrame, threshold: int) -> DataFrame:
-    """uri, frag_id, toks, again (the prints that occur twice) of the fragments that have such a print."""
-    long = fragments.where(F.size("toks") >= threshold).select("uri", "frag_id", "toks")
-    prints = long.select("uri", "frag_id", F.explode(_once(_prints(F.col("toks"), threshold))).alias("print")).select("uri", "frag_id", "print.h")
-    twice = prints.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = prints.join(twice, "h").groupBy("uri", "frag_id").agg(F.collect_set("h").alias("again"))
+    """The fragments that have a print which occurs twice, with `spans`: the first and last seeds of such prints."""
+    long = fragments.where(F.size("toks") >= threshold)
+    spans = long.select("uri", "frag_id", F.explode(_spans(_prints(_hashes(F.col("toks")), threshold))).alias("span")).select("uri", "frag_id", "span.*")
+    # written once: made of every token, and read to be counted and to be matched
+    spans = materialize(spans, "prints")
+    twice = spans.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    found = spans.join(twice, "h").groupBy("uri", "frag_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     return long.join(found, ["uri", "frag_id"])
 
 
+def prepared(fragments: DataFrame, threshold: int) -> DataFrame:
+    """The candidates, written once: what follows reads them, not all fragments."""
+    return materialize(candidates(fragments, threshold), "candidates")
+
+
 def seeds(fragments: DataFrame, threshold: int) -> DataFrame:
-    """uri, frag_id, off, seed_hi, seed_lo of every seed; of candidates only of those whose print is in `again`."""
+    """uri, frag_id, off, seed_hi, seed_lo of every seed; of candidates only of those in `spans`."""
     long, toks = fragments.where(F.size("toks") >= threshold), F.col("toks")
-    if "again" in fragments.columns:
-        kept = lambda again: F.filter(
-            F.transform(_prints(toks, threshold), lambda p, i: F.when(F.array_contains(again, p["h"]), i)), lambda i: i.isNotNull()
-        )
-        offs = let(F.col("again"), kept)
+    if "spans" in fragments.columns:
+        offs = F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"])))
     else:
         offs = F.sequence(F.lit(0), F.size(toks) - threshold)
     key = lambda t, i: F.struct(
         i.alias("off"), F.xxhash64(F.slice(t, i + 1, threshold)).alias("hi"), F.xxhash64(F.lit("seed"), F.slice(t, i + 1, threshold)).alias("lo")
     )
-    keyed = let(toks, lambda t: F.transform(offs, lambda i: key(t, i)))
+    keyed = let(_pairs_of_hashes(toks), lambda t: F.transform(offs, lambda i: key(t, i)))
     return long.select("uri", "frag_id", F.explode(keyed).alias("s")).select(
         "uri", "frag_id", "s.off", F.col("s.hi").alias("seed_hi"), F.col("s.lo").alias("seed_lo")
     )
 
 
+def _pairs_of_hashes(toks: Column) -> Column:
+    """128 bits of each token."""
+    return F.transform(toks, lambda t: F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit("token"), t).alias("b")))
+
+
 def repeated_seeds(all_seeds: DataFrame) -> DataFrame:
     again = all_seeds.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     return all_seeds.join(again, list(KEY), "left_semi")
@@ -125,9 +141,9 @@ def nodes(marked: DataFrame) -> DataFrame:
 
 
 def ranked(fragments: DataFrame, threshold: int, prune: bool = True) -> DataFrame:
-    """Neighbours of all repeated seeds. Candidates are written once: what follows reads them, not all fragments."""
-    if prune:
-        fragments = materialize(candidates(fragments, threshold), "candidates")
+    """Neighbours of all repeated seeds; fragments may be `prepared` already."""
+    if prune and "spans" not in fragments.columns:
+        fragments = prepared(fragments, threshold)
     return neighbours(suffixes(repeated_seeds(seeds(fragments, threshold)), fragments, threshold))
 
 
