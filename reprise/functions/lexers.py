@@ -156,6 +156,100 @@ def _partners(tokens: list[Token]) -> dict[int, int]:
     return out
 
 
+#: Node types of statements by their first word, by language. The names of the grammars' nodes.
+_STATEMENTS = {
+    "java": {"if": "if_statement", "for": "for_statement", "while": "while_statement", "do": "do_statement", "try": "try_statement", "switch": "switch_expression", "synchronized": "synchronized_statement"},
+    "c": {"if": "if_statement", "for": "for_statement", "while": "while_statement", "do": "do_statement", "switch": "switch_statement"},
+    "cpp": {"if": "if_statement", "for": "for_statement", "while": "while_statement", "do": "do_statement", "switch": "switch_statement", "try": "try_statement"},
+    "js": {"if": "if_statement", "for": "for_statement", "while": "while_statement", "do": "do_statement", "try": "try_statement", "switch": "switch_statement"},
+    "go": {"if": "if_statement", "for": "for_statement"},
+    "rs": {"if": "if_expression", "for": "for_expression", "while": "while_expression", "loop": "loop_expression", "match": "match_expression"},
+    "py": {"if": "if_statement", "for": "for_statement", "while": "while_statement", "try": "try_statement", "with": "with_statement"},
+}
+_STATEMENTS |= {"ts": _STATEMENTS["js"], "tsx": _STATEMENTS["js"]}
+_BLOCK = {"c": "compound_statement", "cpp": "compound_statement", "js": "statement_block", "ts": "statement_block", "tsx": "statement_block"}
+_LAMBDA = {"java": ("->", "lambda_expression"), "js": ("=>", "arrow_function"), "ts": ("=>", "arrow_function"), "tsx": ("=>", "arrow_function")}
+_MORE = {"if": ("else",), "try": ("catch", "finally"), "do": ("while",)}
+_DECLARATIONS = {
+    "java": "class_declaration interface_declaration enum_declaration method_declaration constructor_declaration",
+    "c": "struct_specifier class_specifier enum_specifier union_specifier function_definition",
+    "js": "class_declaration interface_declaration enum_declaration method_definition function_declaration generator_function_declaration",
+    "go": "function_declaration method_declaration",
+    "rs": "struct_item enum_item impl_item trait_item mod_item function_item",
+    "py": "function_definition class_definition",
+}
+_DECLARATIONS |= {"cpp": _DECLARATIONS["c"], "ts": _DECLARATIONS["js"], "tsx": _DECLARATIONS["js"]}
+
+
+def node_types(lang: Language) -> frozenset[str]:
+    """The inner nodes that are told apart in a language."""
+    more = [lang.root, _BLOCK.get(lang.name, "block"), *([_LAMBDA[lang.name][1]] if lang.name in _LAMBDA else [])]
+    return frozenset([*_DECLARATIONS[lang.name].split(), *_STATEMENTS[lang.name].values(), *more])
+
+
+def _end_of_statement(tokens: list[Token], i: int, lang: Language, partner: dict[int, int]) -> int:
+    """The last token of the statement that begins at i."""
+    last = len(tokens) - 1
+    word = tokens[i].type
+    if word == "{":
+        return partner.get(i, last)
+    if word not in _STATEMENTS[lang.name]:
+        while i < last and tokens[i].type != ";":
+            if tokens[i].type == "}":
+                return i - 1
+            i = partner.get(i, i) + 1 if tokens[i].type in _OPEN else i + 1
+        return min(i, last)
+    i += 1
+    if lang.name in ("go", "rs"):  # a head without parentheses, up to its block
+        while i < last and tokens[i].type != "{":
+            i = partner.get(i, i) + 1 if tokens[i].type in ("(", "[") else i + 1
+    elif i <= last and tokens[i].type in ("(", "await") and word not in ("do", "else"):
+        i += tokens[i].type == "await"
+        i = partner.get(i, i) + 1
+    end = _end_of_statement(tokens, min(i, last), lang, partner)
+    while end < last and tokens[end + 1].type in _MORE.get(word, ()):
+        i = end + 2
+        if i <= last and tokens[i].type == "(":
+            i = partner.get(i, i) + 1
+            if word == "do":
+                return min(i, last)
+        end = _end_of_statement(tokens, min(i, last), lang, partner)
+    return end
+
+
+def _inner(tokens: list[Token], lang: Language) -> list[tuple[str, int, int]]:
+    """Statements, blocks and lambdas of languages with braces."""
+    partner, out = _partners(tokens), []
+    words, block = _STATEMENTS[lang.name], _BLOCK.get(lang.name, "block")
+    arrow, kind = _LAMBDA.get(lang.name, (None, None))
+    for i, t in enumerate(tokens):
+        if t.type in words:
+            before = tokens[i - 1].type if i else ""
+            if (t.type == "while" and before == "}" and _closes_do(tokens, i, partner)) or before in (".", "->", "::") or (t.type == "for" and lang.name == "rs" and before in ("identifier", "type_identifier", ">")):
+                continue
+            out.append((words[t.type], i, _end_of_statement(tokens, i, lang, partner)))
+        elif t.type == "{" and i in partner:
+            before = tokens[i - 1].type if i else ""
+            if before in (")", "else", "do", "try", "finally", "{", "}", ";", "->", "=>", "loop", "unsafe") or lang.name in ("go", "rs"):
+                out.append((block, i, partner[i]))
+        elif arrow and t.type == arrow and 0 < i < len(tokens) - 1:
+            start = partner.get(i - 1, i - 1) if tokens[i - 1].type == ")" else i - 1
+            if tokens[i + 1].type == "{":
+                end = partner.get(i + 1, len(tokens) - 1)
+            else:
+                end = i + 1
+                while end + 1 < len(tokens) and tokens[end + 1].type not in (",", ";", ")", "]", "}"):
+                    end = partner.get(end + 1, end + 1) if tokens[end + 1].type in _OPEN else end + 1
+            if lang.name != "java" or tokens[i - 1].type in (")", "identifier"):
+                out.append((kind, start, end))
+    return out
+
+
+def _closes_do(tokens: list[Token], i: int, partner: dict[int, int]) -> bool:
+    opened = partner.get(i - 1)
+    return opened is not None and opened > 0 and tokens[opened - 1].type == "do"
+
+
 def _python(text: str, tokens: list[Token]) -> list[tuple[str, int, int]]:
     lines = [0, *(m.end() for m in re.finditer("\n", text))]
     depth, first, firsts = 0, True, []  # tokens that begin a statement's line, with their column
@@ -171,10 +265,16 @@ def _python(text: str, tokens: list[Token]) -> list[tuple[str, int, int]]:
     out = []
     for n, (i, column) in enumerate(firsts):
         at = i + 1 if tokens[i].type == "async" and i + 1 < len(tokens) else i
-        kind = {"def": "function_definition", "class": "class_definition"}.get(tokens[at].type)
+        word = tokens[at].type
+        kind = {"def": "function_definition", "class": "class_definition", **_STATEMENTS["py"]}.get(word)
         if kind:
-            end = next((j for j, c in firsts[n + 1 :] if c <= column), len(tokens))
+            more = ("elif", "else") if word == "if" else ("else",) if word in ("for", "while") else ("except", "else", "finally") if word == "try" else ()
+            end = next((j for j, c in firsts[n + 1 :] if c < column or (c == column and tokens[j].type not in more)), len(tokens))
             out.append((kind, i, end - 1))
+            head = next((j for j, c in firsts[n + 1 :] if c <= column), len(tokens))
+            inside = next((j for j, c in firsts[n + 1 :] if j < head and c > column), None)
+            if inside is not None:
+                out.append(("block", inside, head - 1))
     return out
 
 
@@ -364,7 +464,7 @@ def fragments(text: str, lang: Language, types: tuple[str, ...]) -> list[tuple[s
 def found(text: str, tokens: list[Token], lang: Language, types: tuple[str, ...]) -> list[tuple[str, int, int]]:
     if not tokens:
         return []
-    every = _python(text, tokens) if lang.name == "py" else _braced(tokens, lang)
+    every = _python(text, tokens) if lang.name == "py" else [*_braced(tokens, lang), *_inner(tokens, lang)]
     every.append((lang.root, 0, len(tokens) - 1))
     return sorted({x for x in every if x[0] in types}, key=lambda x: (x[1], -x[2], x[0]))
 

@@ -35,8 +35,16 @@ def _prints(hashes: Column, threshold: int) -> Column:
     gram = max(1, threshold // 2)
     width = threshold - gram + 1
     grams = lambda t: F.transform(F.sequence(F.lit(0), F.size(t) - gram), lambda i: F.struct(F.xxhash64(F.slice(t, i + 1, gram)).alias("h"), i.alias("at")))
-    least = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.array_min(F.slice(h, i + 1, width)))
-    return let(hashes, lambda t: let(grams(t), least))
+    return let(hashes, lambda t: let(grams(t), lambda h: _least(h, width)))
+
+
+def _least(h: Column, width: int, have: int = 1) -> Column:
+    """The least of each `width` elements in a row: of twice as many as before, until two such runs make up the width."""
+    step = min(have, width - have)
+    if not step:
+        return h
+    two = F.zip_with(F.slice(h, 1, F.size(h) - step), F.slice(h, 1 + step, F.size(h) - step), lambda a, b: F.least(a, b))
+    return let(two, lambda m: _least(m, width, have + step))
 
 
 def _spans(prints: Column) -> Column:

@@ -74,8 +74,7 @@ ORACLES = {
     "token_alphabet": on_docs(f", {_PLACES} SELECT count(DISTINCT token) + 1 AS largest_id, CAST(length(CAST(bin(count(DISTINCT token) + 1) AS VARCHAR)) AS BIGINT) AS bits FROM places"),
     "corpus_positions": on_docs(f", {_CORPUS} SELECT uri, frag_id, n_tokens, pos_start, pos_start + n_tokens AS pos_end FROM corpus"),
     "fingerprints": on_docs(f", {_DICTIONARY} SELECT uri, frag_id, md5(string_agg(CAST(token_id AS VARCHAR), ' ' ORDER BY off) || ' 1') AS digest, count(*) + 1 AS n_ids FROM places JOIN dict USING (token) GROUP BY uri, frag_id"),
-    "pos_to_source": on_docs(f", {_CORPUS} SELECT p.pos, uri, frag_id, p.pos - pos_start AS off FROM (SELECT unnest(range(0, 200000, 97)) AS pos) p JOIN corpus ON p.pos BETWEEN pos_start AND pos_start + n_tokens"),
-    "every_pos_to_source": on_docs(f", {_CORPUS} SELECT pos_start + off AS pos, uri, frag_id, off FROM (SELECT *, unnest(range(n_tokens + 1)) AS off FROM corpus)"),
+    "pos_to_source": on_docs(f", {_CORPUS} SELECT pos_start + off AS pos, uri, frag_id, off FROM (SELECT *, unnest(range(n_tokens + 1)) AS off FROM corpus)"),
     "suffix_ranks": on_clones("SELECT uri, frag_id, off, rk FROM nb"),
     "lcp_values": on_clones("SELECT uri, frag_id, off, CAST(lcp AS BIGINT) AS lcp FROM l WHERE lcp IS NOT NULL"),
     "repeated_ngrams": on_docs("SELECT gram, count(*) AS n FROM (SELECT array_to_string(list_slice(toks, p, p + 4), ' ') AS gram FROM (SELECT toks, unnest(range(1, len(toks) - 3)) AS p FROM lines WHERE len(toks) >= 5)) GROUP BY gram HAVING count(*) > 1"),
@@ -103,7 +102,9 @@ ORACLES = {
         "both_tables", f"{DOCS}, {BENCH}, both_tables AS (SELECT uri, text FROM docs UNION ALL SELECT uri, text FROM bench)"),
     "incremental_refresh": on_clones("SELECT uri, frag_id, off, CAST(clone_size AS BIGINT) AS clone_size, class_id FROM nodes", "new", f"{DOCS}, {_OLD_NEW}"),
     "streaming_clones": on_clones("SELECT uri, frag_id, off, CAST(clone_size AS BIGINT) AS clone_size, class_id FROM nodes", "new", f"{DOCS}, {_OLD_NEW}"),
-    "rank_select": f"WITH {_B}, p AS ({_BENCH_PLACES}) SELECT doc, pos, token, row_number() OVER (PARTITION BY doc, token ORDER BY pos) - 1 AS rank, count(*) OVER (PARTITION BY doc, token) AS total FROM p",
+    "rank_select": f"WITH {DOCS}, b AS (SELECT uri, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda w: w <> '') AS toks FROM docs), p AS ({_BENCH_PLACES}) SELECT doc, pos, token, row_number() OVER (PARTITION BY doc, token ORDER BY pos) - 1 AS rank, count(*) OVER (PARTITION BY doc, token) AS total FROM p",
+    "merged_token_counts": f"WITH {DOCS}, {_OLD_NEW}, {LINES.format(docs='new')}, {_PLACES} SELECT token, count(*) AS n FROM places GROUP BY token",
+    "run_timings": "SELECT user_id AS run, md5(coalesce(string_agg(CAST(CAST(floor(value) AS BIGINT) AS VARCHAR), ',' ORDER BY event_id), '')) AS digest FROM events GROUP BY user_id",
     "bwt_lf": f"""WITH {_B}, s AS (SELECT uri AS doc, pos, toks, list_slice(toks, pos + 1, len(toks)) AS suf FROM (SELECT uri, toks, unnest(range(len(toks))) AS pos FROM b)),
   r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY suf) - 1 AS rk FROM s)
   SELECT r.doc, r.rk, r.pos, CASE WHEN r.pos > 0 THEN r.toks[r.pos] ELSE '' END AS bwt, coalesce(p.rk, -1) AS lf FROM r LEFT JOIN r p ON r.doc = p.doc AND p.pos = r.pos - 1""",

@@ -145,6 +145,16 @@ def token_cumcounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tk.token_cumcounts(tk.token_counts(lines(spark, sf_dir)))
 
 
+@query
+def merged_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the old documents, kept up with the fragments that come and go."""
+    old, new = _old_new(spark, sf_dir)
+    changes = dc.changed(old, new)
+    come = fr.line_fragments(new.join(changes.where("change <> 'deleted'"), "uri", "left_semi"))
+    gone = fr.line_fragments(old.join(changes.where("change <> 'added'"), "uri", "left_semi"))
+    return tk.merge_counts(tk.token_counts(fr.line_fragments(old)), come, gone)
+
+
 @query
 def token_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
     largest = tk.token_counts(lines(spark, sf_dir)).agg((F.count(F.lit(1)) + 1).alias("largest_id"))
@@ -165,12 +175,7 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pos_to_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tk.pos_to_source(spark.range(0, 200_000, 97).withColumnRenamed("id", "pos"), tk.corpus_positions(lines(spark, sf_dir)))
-
-
-@query
-def every_pos_to_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All positions of the corpus; pos_to_source has the first 200,000, as its SQL has."""
+    """All positions of the corpus."""
     corpus = tk.corpus_positions(lines(spark, sf_dir))
     return tk.pos_to_source(corpus.select(F.explode(F.sequence("pos_start", "pos_end")).alias("pos")), corpus, 64)
 
@@ -307,7 +312,9 @@ def _bench_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rank_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tk.rank_select(_bench_tokens(spark, sf_dir).select("doc", F.posexplode("toks").alias("pos", "token")))
+    """Over all documents."""
+    toks = docs(spark, sf_dir).select(F.col("uri").alias("doc"), tx.words(F.translate("text", "\n", " ")).alias("toks"))
+    return tk.rank_select(toks.select("doc", F.posexplode("toks").alias("pos", "token")))
 
 
 @query
@@ -395,6 +402,14 @@ def averaged_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.averaged(events.select((F.col("user_id") % 10).alias("place"), F.floor("value").alias("value"))).withColumn("mean", F.round("mean", 6))
 
 
+@query
+def run_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line of values for each run, in order of their places."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    out = reports.timings_line(events.select(F.col("user_id").alias("run"), F.col("event_id").alias("place"), F.floor("value").cast("bigint").alias("value")))
+    return out.select("run", _digest(F.col("line")))
+
+
 @query
 def code_clones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two methods of a class that differ in names and literals only, found with names and literals blind."""

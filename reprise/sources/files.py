@@ -68,21 +68,30 @@ def read_changes(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _lex(config: CloneConfig):
-    lang, types, extra = lexers.language(config.language), config.fragment_types, frozenset(config.extra_nodes)
+    lang, types = lexers.language(config.language), config.fragment_types
+    known = lexers.node_types(lang)
+    if unknown := [t for t in types if t not in known]:
+        raise ValueError(f"no {lang.name} nodes of type {', '.join(unknown)}; there are {', '.join(sorted(known))}")
+    extra = tuple(t for t in config.extra_nodes if t in known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for uri, text in zip(batch.column("uri").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 text = text or ""
-                tokens, starts = lexers.tokenize(text, lang, comments="comment" in extra), lexers.line_starts(text)
-                plain = [t for t in tokens if t.type not in ("line_comment", "block_comment", "comment")]
-                places = []
-                for t in plain:
-                    a, b = lexers.position(starts, t.start), lexers.position(starts, t.end)
-                    places.append({"type": t.type, "text": t.text, "leaf": True, "start_line": a[0], "start_char": a[1], "end_line": b[0], "end_char": b[1]})
-                for n, (kind, i, j) in enumerate(lexers.found(text, plain, lang, types)):
-                    rows.append((uri, n, kind, plain[i].start, plain[j].end, places[i : j + 1]))
+                tokens, starts = lexers.tokenize(text, lang), lexers.line_starts(text)
+
+                def place(kind: str, start: int, end: int, leaf: bool) -> dict:
+                    a, b = lexers.position(starts, start), lexers.position(starts, end)  # noqa: B023
+                    return {"type": kind, "text": text[start:end], "leaf": leaf, "start_line": a[0], "start_char": a[1], "end_line": b[0], "end_char": b[1]}  # noqa: B023
+
+                places = [place(t.type, t.start, t.end, True) for t in tokens]
+                inner: dict[int, list[tuple[int, dict]]] = {}  # by first token, outer ones first
+                for kind, i, j in lexers.found(text, tokens, lang, extra) if extra else []:
+                    inner.setdefault(i, []).append((j, place(kind, tokens[i].start, tokens[j].end, False)))
+                for n, (kind, i, j) in enumerate(lexers.found(text, tokens, lang, types)):
+                    own = [x for k in range(i, j + 1) for x in (*(node for last, node in inner.get(k, ()) if last <= j), places[k])] if inner else places[i : j + 1]
+                    rows.append((uri, n, kind, tokens[i].start, tokens[j].end, own))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.list_(TOKEN)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["uri", "frag_id", "frag_type", "start", "end", "tokens"])
@@ -91,7 +100,8 @@ def _lex(config: CloneConfig):
 
 
 def code_fragments(documents: DataFrame, config: CloneConfig) -> DataFrame:
-    """uri, frag_id, frag_type, start, end (offsets), tokens: every node of the asked types, nested ones too.
+    """uri, frag_id, frag_type, start, end (offsets), tokens: every node of the asked types, nested ones too. Inner nodes of
+    the types in `extra_nodes` are tokens as well, in front of what is in them. Asking for an unknown type is an error.
 
     Lexing is the one step without a native form; texts go to Python in Arrow batches, and tokens come back.
     """

@@ -13,11 +13,14 @@ _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; a temporary one only where it names none."""
+    """The folder that the session names in spark.checkpoint.dir; a temporary one where it names none and all tasks run in this
+    process's machine (a local master). A cluster without such a folder is an error: its executors would not see each other's files."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
     if "own" not in _own:
         _own["own"] = tempfile.mkdtemp(prefix="reprise-")
     return f"file://{_own['own']}"

@@ -145,3 +145,43 @@ def test_options():
     assert CloneConfig.from_json(c.to_json()) == c
     with pytest.raises(ValueError):
         CloneConfig(clone_token_threshold=0)
+
+
+@pytest.mark.parametrize(
+    "lang, text, expected",
+    [
+        ("java", "class A { void f() { if (a) { x(); } else if (b) y(); else { z(); } for (int i : q) w(i); do { v(); } while (c); run(() -> { u(); }, k -> k + 1); } }",
+         {"if_statement": 2, "for_statement": 1, "do_statement": 1, "while_statement": 0, "lambda_expression": 2, "block": 5}),
+        ("js", "function f() { try { a(); } catch (e) { b(); } finally { c(); } while (d) e(); return x => x + 1; }", {"try_statement": 1, "while_statement": 1, "arrow_function": 1, "statement_block": 4}),
+        ("c", "int f(int a) { while (a) { a--; } switch (a) { case 1: return 2; } return 0; }", {"while_statement": 1, "switch_statement": 1, "compound_statement": 3}),
+        ("go", "func f() { if x := g(); x > 0 { h() } else { k() }\nfor i := range xs { m(i) } }", {"if_statement": 1, "for_statement": 1, "block": 4}),
+        ("rs", "impl A for B { fn f() { for x in y { g(x); } match z { _ => {} } } }", {"for_expression": 1, "match_expression": 1}),
+        ("py", "def f():\n    if a:\n        b()\n    else:\n        c()\n    for x in y:\n        d()\n    e()\n", {"if_statement": 1, "for_statement": 1, "block": 3}),
+    ],
+)
+def test_statements_blocks_and_lambdas(lang, text, expected):
+    assert {kind: len(names(text, lang, kind)) for kind in expected} == expected
+
+
+def test_ends_of_statements():
+    text = "class A { void f() { if (a) { x(); } else if (b) y(); else { z(); } for (int i : q) w(i); k(); } }"
+    assert [t for _, t in names(text, "java", "if_statement")] == ["if ( a ) { x ( ) ; } else if ( b ) y ( ) ; else { z ( ) ; }", "if ( b ) y ( ) ; else { z ( ) ; }"]
+    assert names(text, "java", "for_statement") == [("for_statement", "for ( int i : q ) w ( i ) ;")]
+
+
+def test_unknown_fragment_types_raise():
+    with pytest.raises(ValueError, match="no java nodes of type no_such_node"):
+        files._lex(CloneConfig(fragment_query="(no_such_node) @x"))
+
+
+def test_extra_nodes_are_tokens_in_front_of_what_is_in_them(spark):
+    df = spark.createDataFrame([("file:///Loops.java", LOOPS)], "uri string, text string")
+    counts = {}
+    for extra in ((), ("for_statement", "block"), ("comment",)):
+        config = CloneConfig(fragment_query="(method_declaration) @m", clone_token_threshold=10, index_git_files_only=False, extra_nodes=extra)
+        rows = detector.prepared(df, config).collect()
+        counts[extra] = [len(r.toks) for r in rows]
+        if "block" in extra:
+            at = next(k for k, t in enumerate(rows[0].tokens) if t.type == "for_statement")
+            assert rows[0].tokens[at].text.startswith("for (int value") and rows[0].tokens[at + 1].type == "for" and not rows[0].tokens[at].leaf
+    assert counts[("for_statement", "block")] == [n + 3 for n in counts[()]] and counts[("comment",)] == counts[()]

@@ -27,7 +27,7 @@ def test_positions_beyond_a_prefix(spark):
     folder = "/root/testdata/sf0.01"
     of = registry.queries()
     n = of["corpus_positions"](spark, folder).selectExpr("sum(n_tokens + 1) AS n").first().n
-    got = of["every_pos_to_source"](spark, folder).selectExpr("count(*) AS n", "count(DISTINCT pos) AS kinds", "max(pos) AS last").first()
+    got = of["pos_to_source"](spark, folder).selectExpr("count(*) AS n", "count(DISTINCT pos) AS kinds", "max(pos) AS last").first()
     assert n > 200_000 and tuple(got) == (n, n, n - 1)
 
 
