@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reprise.llm.common import Words, carry, chunks, fold, held_out, table
+from reprise.llm.common import Words, carry, chunks, fold, held_out, materialize, table
 
 PASSAGE = 64
 #: Labelled documents that the model is fitted on, about.
@@ -217,9 +217,13 @@ def train(documents: DataFrame, labels: DataFrame, column: str = "quality") -> M
     total = known.count()
     place = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 20))
     sample = known.where(place < int(SAMPLE / max(SAMPLE, total) * (1 << 20))).select(F.col("doc_id").alias("of"), "label")
-    # SAMPLE rows of two numbers, about
-    chosen = documents.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("of"))
-    chosen = chosen.groupBy("of").agg(F.first("label").alias("label"), F.min("text").alias("text"))
+    # SAMPLE rows of a few numbers, about
+    times = documents.join(F.broadcast(sample), F.col("doc_id") == F.col("of")).groupBy("of").agg(F.first("label").alias("label"), F.count(F.lit(1)).alias("times"))
+    times = materialize(times, "sample")
+    of = lambda some: documents.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("of")).select("of", "label", "text")
+    # only texts that share an id are shuffled
+    repeated = of(times.where("times > 1")).groupBy("of", "label").agg(F.min("text").alias("text"))
+    chosen = of(times.where("times = 1")).unionByName(repeated)
     rows = chosen.select("text", "label").mapInArrow(_bags, "label int, bag binary").collect()
     rows = sorted((r["label"], bytes(r["bag"])) for r in rows)  # the order of tasks has no say
     bags = [np.frombuffer(b, dtype=np.float16).reshape(-1, INPUT).astype(np.float32) for _, b in rows]

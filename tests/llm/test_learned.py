@@ -349,3 +349,42 @@ def test_letters_of_any_script_have_symbols(spark):
     _, a = toxicity.ngrams(["ä"], alphabet)
     _, b = toxicity.ngrams(["ж"], alphabet)
     assert a[0] != b[0]
+
+
+def test_bags_are_bounded(spark):
+    """A long document is learned from in BAG passages over its whole length, and one text of an id that repeats."""
+    words = [f"w{i % 97}" for i in range(quality_mil.PASSAGE * 500)]
+    rows = [(i, " ".join(words) if i == 1 else f"text {i} of few words", "en", "s", 1) for i in range(1, 30)]
+    rows += [(2, f"another text {k}", "en", "s", 1) for k in range(20)]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(words)])], ["label", "text"])
+    (out,) = quality_mil._bags(iter([batch]))
+    bag = np.frombuffer(out.column("bag")[0].as_py(), dtype=np.float16).reshape(-1, quality_mil.INPUT)
+    whole, count = quality_mil.passages([" ".join(words)])
+    assert count[0] == 500 and len(bag) == quality_mil.BAG and np.array_equal(bag[-1], whole[(quality_mil.BAG - 1) * 500 // quality_mil.BAG].astype(np.float16))
+    seen = []
+    fit = quality_mil.fit
+    try:
+        quality_mil.fit = lambda bags, y: seen.append((len(bags), y.tolist())) or fit(bags, y)
+        labels = [(i, i % 2, 0) for i in range(1, 30)]
+        docs = frame(spark, rows)
+        scores = quality_mil.score(docs, quality_mil.train(docs, spark.createDataFrame(labels, LABELS)), ["doc_id"]).collect()
+    finally:
+        quality_mil.fit = fit
+    learnable = [i for i, _, _ in labels if fold(i) != 0]
+    assert seen[0][0] == len(learnable) and len(scores) == len(rows)
+
+
+def test_texts_longer_than_a_chunk(spark):
+    """Operators 4 and 7 on a text of more than a chunk: as many rows, the language and nearly the score of its parts."""
+    rows = [(r.doc_id, r.text, r.lang, "s", 1) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text and r.lang]
+    part = next(r for r in rows if r[2] == "de" and len(r[1]) > 2000)
+    long = (10_000_001, (part[1] + "\n") * (1 + 300_000 // len(part[1])), "de", "s", 1)
+    docs = frame(spark, [*rows, long])
+    got = {r.doc_id: r for r in langid.predict(docs, langid.train(frame(spark, rows)), ["doc_id"]).collect()}
+    assert got[long[0]].lang_pred == "de" and abs(got[long[0]].score - got[part[0]].score) < 0.1
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = quality_mil.train(frame(spark, rows), labels)
+    got = {r.doc_id: r.score for r in quality_mil.score(docs, model, ["doc_id"]).collect()}
+    assert len(got) == len(rows) + 1 and abs(got[long[0]] - got[part[0]]) < 0.2
