@@ -218,7 +218,7 @@ def train(documents: DataFrame, labels: DataFrame, column: str = "quality") -> M
     place = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 20))
     sample = known.where(place < int(SAMPLE / max(SAMPLE, total) * (1 << 20))).select(F.col("doc_id").alias("of"), "label")
     # SAMPLE rows of a few numbers, about
-    times = documents.join(F.broadcast(sample), F.col("doc_id") == F.col("of")).groupBy("of").agg(F.first("label").alias("label"), F.count(F.lit(1)).alias("times"))
+    times = documents.select("doc_id").join(F.broadcast(sample), F.col("doc_id") == F.col("of")).groupBy("of").agg(F.first("label").alias("label"), F.count(F.lit(1)).alias("times"))
     times = materialize(times, "sample")
     of = lambda some: documents.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("of")).select("of", "label", "text")
     # only texts that share an id are shuffled
