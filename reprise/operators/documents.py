@@ -30,6 +30,19 @@ def edited(documents: DataFrame, edits: DataFrame) -> DataFrame:
     return joined.select("uri", apply_edits(F.col("text"), F.col("edits")).alias("text"))
 
 
+def folded(documents: DataFrame, events: DataFrame) -> DataFrame:
+    """documents (uri, text) after events (uri, text, version, edits), each document's in the order of their versions.
+
+    An event has a whole text, or ranged edits of the text so far, each on the result of the one before, or neither: it deletes.
+    Edits of documents that are not there are left out.
+    """
+    listed = events.groupBy("uri").agg(F.array_sort(F.collect_list(F.struct("version", "text", "edits"))).alias("events"))
+    one = lambda so_far, e: F.when(e["edits"].isNull(), e["text"]).otherwise(apply_edits(so_far, e["edits"]))
+    both = documents.select("uri", F.col("text").alias("was")).join(listed, "uri", "full")
+    now = F.when(F.col("events").isNull(), F.col("was")).otherwise(F.aggregate("events", F.col("was"), one))
+    return both.select("uri", now.alias("text")).where(F.col("text").isNotNull())
+
+
 def changed(old: DataFrame, new: DataFrame) -> DataFrame:
     """uri, change: added, modified or deleted between two versions of documents (uri, text).
 

@@ -299,10 +299,11 @@ def streaming_clones(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = dict(x.split() for x in EVENTS.split(", "))
     typed = lambda df: df.select(*[F.col(c).cast(t).alias(c) for c, t in kind.items()])
     gone = old.join(new, "uri", "left_anti").select("uri", F.lit(None).alias("text"), F.lit(2).alias("version"))
-    typed(old.withColumn("version", F.lit(1))).coalesce(1).write.parquet(f"{root}/events/1")
-    typed(gone.unionByName(new.withColumn("version", F.lit(2)))).coalesce(1).write.parquet(f"{root}/events/2")
     store = CloneStore(spark, f"{root}/store", THRESHOLD)
-    store.start(read_events(spark, f"{root}/events/*"), f"{root}/checkpoint").awaitTermination()
+    # one micro-batch a version: the second one's files come when the first is done
+    for version, events in ((1, old.withColumn("version", F.lit(1))), (2, gone.unionByName(new.withColumn("version", F.lit(2))))):
+        typed(events).write.parquet(f"{root}/events/{version}")
+        store.start(read_events(spark, f"{root}/events/*", None), f"{root}/checkpoint").awaitTermination()
     return store.clones().withColumn("clone_size", F.col("clone_size").cast("bigint"))
 
 

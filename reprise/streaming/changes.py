@@ -1,8 +1,9 @@
 """A stream of document events that keeps clones up to date.
 
-Each micro-batch is one detection: the last event of every uri counts, documents whose text did not change
-are left out, and the clone state is refreshed and written as the next version of its tables. The tables'
-folder names the batch, so a batch that runs again after a failure writes the same version again.
+Each micro-batch is one detection: a document's events are applied in the order of their versions (whole texts, ranged edits of
+the text so far, deletions), documents whose text did not change are left out, and the clone state is refreshed and written as
+the next version of its tables. The tables' folder names the batch, so a batch that runs again after a failure writes the
+same version again. Of the versions before, the last one stays.
 """
 
 from __future__ import annotations
@@ -16,8 +17,11 @@ from pyspark.sql.streaming import StreamingQuery
 from reprise.operators import documents as docs
 from reprise.operators.fragments import line_fragments
 from reprise.operators.incremental import State, build, refresh
+from reprise.storage import remove
 
 EVENTS = "uri string, text string, version bigint"
+#: The same with ranged edits, which may be missing.
+RANGED_EVENTS = f"{EVENTS}, edits array<struct<start_line:int,start_char:int,end_line:int,end_char:int,text:string>>"
 _TABLES = {
     "fragments": "uri string, frag_id int, toks array<string>",
     "seeds": "uri string, frag_id int, off int, seed_hi bigint, seed_lo bigint",
@@ -64,14 +68,18 @@ class CloneStore:
         documents.write.mode("overwrite").parquet(self._path(version, "documents"))
 
     def apply(self, events: DataFrame, batch: int) -> None:
-        """One batch of events (uri, text, version); a null text deletes."""
+        """One batch of events (uri, text, version, edits if there are any); without a text and edits they delete."""
+        if "edits" not in events.columns:
+            events = events.withColumn("edits", F.lit(None).cast(RANGED_EVENTS.split("edits ")[1]))
         before = [v for v in self.versions() if v < batch]
+        for old_version in before[:-1]:
+            remove(self.spark, f"{self.root}/v{old_version}")
         if not before:
-            new = docs.upsert(self.spark.createDataFrame([], _TABLES["documents"]), events)
+            new = docs.folded(self.spark.createDataFrame([], _TABLES["documents"]), events)
             self._write(batch, build(line_fragments(new), self.threshold), new)
             return
         old = self._read(before[-1], "documents")
-        new = docs.upsert(old, events)
+        new = docs.folded(old, events)
         changes = docs.changed(old.join(events.select("uri"), "uri", "left_semi"), new.join(events.select("uri"), "uri", "left_semi"))
         come = line_fragments(new.join(changes.where(F.col("change") != "deleted"), "uri", "left_semi"))
         self._write(batch, refresh(self.state(before[-1]), changes.select("uri"), come), new)
@@ -82,6 +90,7 @@ class CloneStore:
         return query.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def read_events(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """A stream over parquet files of events, so many files a batch."""
-    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def read_events(spark: SparkSession, path: str, files_per_batch: int | None = 1) -> DataFrame:
+    """A stream over parquet files of events, so many files a batch, or all that are there."""
+    stream = spark.readStream.schema(RANGED_EVENTS)
+    return (stream.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else stream).parquet(path)

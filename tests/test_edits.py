@@ -96,3 +96,22 @@ def test_stream_equals_rebuild(spark, tmp_path):
     assert sorted(r.uri for r in store.documents().collect()) == ["a", "c"]
     spark.streams.removeListener(listener)
     assert "begin" in notices
+
+
+def test_ranged_edits_in_a_stream(spark, tmp_path):
+    """Whole texts, edits in order of versions, deletions and edits of unknown documents; clones as of the last texts."""
+    from reprise.operators import suffix
+    from reprise.operators.fragments import line_fragments
+    from reprise.streaming.changes import RANGED_EVENTS, CloneStore
+
+    store = CloneStore(spark, f"file://{tmp_path}/store", 3)
+    batch = lambda rows: spark.createDataFrame(rows, RANGED_EVENTS)
+    store.apply(batch([("a", "one two three four\nx", 1, None), ("b", "zero", 1, None), ("b", None, 2, [(0, 0, 0, 4, "one two three"), (0, 13, 0, 13, " five")])]), 0)
+    assert {r.uri: r.text for r in store.documents().collect()} == {"a": "one two three four\nx", "b": "one two three five"}
+    assert {(r.uri, r.off) for r in store.clones().collect()} == {("a", 0), ("b", 0)}
+    store.apply(batch([("a", None, 5, [(1, 0, 1, 1, "y")]), ("a", None, 4, [(0, 4, 0, 7, "2")]), ("c", None, 1, [(0, 0, 0, 0, "lost")]), ("d", "one 2 three six", 1, None)]), 1)
+    assert {r.uri: r.text for r in store.documents().collect()} == {"a": "one 2 three four\ny", "b": "one two three five", "d": "one 2 three six"}
+    store.apply(batch([("b", None, 6, None), ("e", "one 2 three", 1, None)]), 2)
+    assert {r.uri for r in store.documents().collect()} == {"a", "d", "e"} and store.versions() == [1, 2]
+    now = sorted(map(str, store.clones().collect()))
+    assert now == sorted(map(str, suffix.clones(line_fragments(store.documents()), 3).select(*store.clones().columns).collect())) and len(now) == 3
