@@ -15,7 +15,9 @@ takes place only if there are any.
 Defined cases: null html is an empty payload, always a response; a null url leaves the header out; a null
 page_id is read back as null and refers to the group's largest page_id, or is a response if there is none;
 rows that repeat the largest page_id are all responses; an archive that does not begin with a record has
-none; a record that runs past its file's end is dropped; no archives give no rows.
+none; a record that runs past its file's end is dropped; no archives or pages give no rows; very long payloads are written and
+digested whole, and a worker holds the longest one; rows with equal ids below the largest all revisit it; extra columns of pages
+have no say, whatever their names. Only records of WARC/1.0, as they are written here, are read.
 """
 
 from __future__ import annotations

@@ -228,6 +228,37 @@ def test_archives_give_the_pages_back(spark, tmp_path):
     assert bag(warc.op9_warc(spark, str(tmp_path)), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == brute_warc(rows)
 
 
+def test_archives_of_long_payloads_and_clashing_columns(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "u", "<p>long</p>" * 40_000), (2, "u", "<p>long</p>" * 40_000), (3, "u", "short"), (3, "u", "short")]
+    df = spark.createDataFrame(rows, PAGES)
+    for name in ("digest", "bytes", "first", "of", "copies", "value", "file", "off", "row"):
+        df = df.withColumn(name, F.lit("clash"))
+    df.write.parquet(str(tmp_path / "pages.parquet"))
+    assert bag(warc.op9_warc(spark, str(tmp_path)), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == brute_warc(rows)
+
+
+def test_long_texts_are_counted_whole(spark):
+    """Operators 5, 6, 8 and 10 on a text longer than a chunk, beside short ones."""
+    v = token_counts.vocabulary()
+    rng = random.Random(12)
+    vocabulary = [f"word{i}" for i in range(500)]
+    text = " ".join(rng.choice(vocabulary) for _ in range(60_000))
+    item = " ".join(f"item{i}" for i in range(20))
+    rows = [(1, text, "en", "a", 1), (2, text + " " + item, "en", "a", 1), (3, "short text", "en", "b", 1)]
+    assert len(text) > 300_000
+    docs = frame(spark, rows, extra=True).drop("n_words")
+    known = {w: count_pieces(token_counts.MARK + w, v) for r in rows for w in words(r[1])}
+    got = {r.doc_id: (r.n_words, r.n_tokens) for r in token_counts.count_tokens(docs, ["doc_id"]).collect()}
+    assert got == {r[0]: (len(words(r[1])), sum(known[w] for w in words(r[1]))) for r in rows}
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality_rules.apply_rules(docs).collect()}
+    assert got == {r[0]: brute_counts(r[1]) for r in rows}
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination(docs, spark.createDataFrame([(7, item)], ITEMS), ["doc_id"]).collect()}
+    assert got == {1: (60_000, 0, 0), 2: (60_020, 20, 1), 3: (2, 0, 0)}
+    assert {r.doc_id: r["size"] for r in mixing.mix(frame(spark, rows), spark.createDataFrame([], "doc_id bigint, weight double")).collect()} == {1: 60_000, 2: 60_020, 3: 2}
+
+
 def test_archives_in_small_splits(spark, tmp_path):
     rows = pages()
     spark.createDataFrame(rows, PAGES).coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
