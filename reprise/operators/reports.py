@@ -32,7 +32,7 @@ def clones_per_document(documents: DataFrame, ranged: DataFrame) -> DataFrame:
 
 
 def diagnostics(ranged: DataFrame) -> DataFrame:
-    """uri, range, message, severity, n_related for each clone; `related` lists are made by matches on demand."""
+    """uri, range, message, severity, n_related for each clone; where the related ones are is in `related_locations`."""
     counted = with_match_count(ranged)
     return counted.select(
         "uri", range_text().alias("range"), F.concat(F.col("n_matches").cast("string"), F.lit(" clone(s) detected")).alias("message"),
@@ -40,6 +40,21 @@ def diagnostics(ranged: DataFrame) -> DataFrame:
     )
 
 
+def related_locations(ranged: DataFrame) -> DataFrame:
+    """class_id, uri, range, message of every clone, once. The related locations of a diagnostic are the other rows of its class:
+    in this form they grow with the clones, and not with the square of a class."""
+    return ranged.select("class_id", "uri", range_text().alias("range"), F.concat(F.lit("Matching clone in "), file_name(F.col("uri"))).alias("message"))
+
+
+def related(ranged: DataFrame, uris: DataFrame) -> DataFrame:
+    """uri, range, and related_uri, related_range, message of the other clones of its class, for the clones of the documents in uris
+    (those that are published now)."""
+    at = related_locations(ranged)
+    here = at.join(uris.select("uri").distinct(), "uri", "left_semi").select("class_id", "uri", "range")
+    there = at.select("class_id", F.col("uri").alias("related_uri"), F.col("range").alias("related_range"), "message")
+    return here.join(there, "class_id").where("uri <> related_uri OR range <> related_range").drop("class_id")
+
+
 def published(documents: DataFrame, ranged: DataFrame) -> DataFrame:
     """uri, diagnostics (array, ordered by range): what is sent for each document, an empty array without clones."""
     listed = diagnostics(ranged).groupBy("uri").agg(F.array_sort(F.collect_list(F.struct("range", "message", "severity", "n_related"))).alias("diagnostics"))

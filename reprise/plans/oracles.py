@@ -86,6 +86,9 @@ ORACLES = {
     "clones_per_document": on_clones("SELECT d.uri, count(r.uri) AS n_clones, CAST(coalesce(sum(clone_size + 1), 0) AS BIGINT) AS n_tokens FROM docs d LEFT JOIN ranged r ON d.uri = r.uri GROUP BY d.uri"),
     "diagnostics": on_clones("SELECT uri, range, n_matches || ' clone(s) detected' AS message, 'Information' AS severity, n_matches AS n_related FROM counted"),
     "published_diagnostics": on_clones("SELECT d.uri, count(r.uri) AS n_diagnostics, md5(coalesce(string_agg(range || ' ' || n_matches, ',' ORDER BY range || ' ' || n_matches), '')) AS digest FROM docs d LEFT JOIN counted r ON d.uri = r.uri GROUP BY d.uri"),
+    "related_locations": on_clones("SELECT class_id, uri, range, 'Matching clone in ' || string_split(uri, '/')[-1] AS message FROM counted"),
+    "related_of_documents": on_clones("""SELECT a.uri, a.range, b.uri AS related_uri, b.range AS related_range, 'Matching clone in ' || string_split(b.uri, '/')[-1] AS message
+  FROM counted a JOIN counted b ON a.class_id = b.class_id AND (a.uri <> b.uri OR a.range <> b.range)"""),
     "clone_pairs_csv": on_clones("""SELECT string_split(a.uri, '/')[-2] AS folder, string_split(a.uri, '/')[-1] AS file, a.start_line + 1 AS first_line, a.end_line + 1 AS last_line,
   string_split(b.uri, '/')[-2] AS match_folder, string_split(b.uri, '/')[-1] AS match_file, b.start_line + 1 AS match_first_line, b.end_line + 1 AS match_last_line
   FROM counted a JOIN counted b ON a.class_id = b.class_id AND (a.uri <> b.uri OR a.range <> b.range)"""),

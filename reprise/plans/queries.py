@@ -238,6 +238,17 @@ def published_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("uri", F.size("diagnostics").cast("bigint").alias("n_diagnostics"), _digest(F.array_join(each, ",")))
 
 
+@query
+def related_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.related_locations(ranged(spark, sf_dir))
+
+
+@query
+def related_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The related locations of all diagnostics."""
+    return reports.related(ranged(spark, sf_dir), docs(spark, sf_dir))
+
+
 @query
 def clone_pairs_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.pairs(ranged(spark, sf_dir))
