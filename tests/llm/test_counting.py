@@ -178,6 +178,17 @@ def test_mix_by_the_definition(spark):
     assert key(out) == key(again)
 
 
+@pytest.mark.parametrize("sizes", [{"a": 100, "b": 100, "c": 100}, {"a": 0, "b": 10, "c": 3, "d": 0, "e": 1, "": 7, None: 40}, {f"src{i}": 50 + i for i in range(20)}])
+def test_sources_that_end_below_their_caps(spark, sizes):
+    rows = [(i, "w " * n, "en", s, 1) for i, (s, n) in enumerate(sizes.items())]
+    _, per, target = brute_mix(rows, {})
+    got = {r.source: r for r in mixing.targets(spark.createDataFrame(list(per.items()), "source string, source_size bigint")).collect()}
+    assert {s: r.source_size for s, r in got.items()} == per
+    assert all(abs(got[s].target - goal) < 1e-6 for s, goal in target.items())
+    assert abs(sum(r.target for r in got.values()) - sum(per.values())) < 1e-6
+    assert all(r.taken >= 0 for r in mixing.mix(frame(spark, rows)).collect())
+
+
 def test_weights_favour_good_documents(spark):
     rows = [(i, "w " * 10, "en", "ab"[i % 2], 1) for i in range(2000)]
     rows += [(9000 + i, "w " * 10, "en", "b", 1) for i in range(100)]
