@@ -93,3 +93,14 @@ def test_pairs_and_matches(spark):
     rows = [("u", 0, list("abcdx")), ("v", 0, list("abcdy")), ("w", 0, list("abcdz"))]
     nodes = suffix.clones(spark.createDataFrame(rows, SCHEMA), 4)
     assert nodes.count() == 3 and suffix.matches(nodes).count() == 6
+
+
+def test_places_that_go_on_alike_are_one_row(spark):
+    """Copies make a row each and not a row for each place, and places have the ranks of a plain sort."""
+    same = [f"w{i}" for i in range(60)]
+    rows = [("u", 0, [*same, "x"]), ("v", 0, [*same, "y"]), ("w", 0, ["z", *same[:40]])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    chains = suffix.chained(df, 5)
+    assert chains.count() == 5
+    key = lambda d: sorted(map(str, d.select(*suffix.PLACE, "rk", "lcp", "prev").collect()))
+    assert key(suffix.places(chains)) == key(suffix.ranked(df, 5, prune=False))
