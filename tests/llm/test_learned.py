@@ -388,3 +388,28 @@ def test_texts_longer_than_a_chunk(spark):
     model = quality_mil.train(frame(spark, rows), labels)
     got = {r.doc_id: r.score for r in quality_mil.score(docs, model, ["doc_id"]).collect()}
     assert len(got) == len(rows) + 1 and abs(got[long[0]] - got[part[0]]) < 0.2
+
+
+def test_calibration_sees_every_learnable_label(spark, monkeypatch):
+    """Each once, under counts of the other half."""
+    docs, labels = planted(100)
+    seen, calibrate = [], toxicity.calibrate
+    monkeypatch.setattr(toxicity, "calibrate", lambda rows, *a: (seen.append(rows.groupBy("label").count().collect()), calibrate(rows, *a))[1])
+    toxicity.score(frame(spark, docs), spark.createDataFrame(labels, LABELS), ["doc_id"]).collect()
+    learnable = [t for d, _, t in labels if fold(d) != 0]
+    assert {tuple(r) for r in seen[0]} == {(k, learnable.count(k)) for k in (0, 1)}
+
+
+def test_weights_by_plain_newton_steps(spark):
+    """The same as those of all rows in one array."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, len(toxicity.MEASURES))) * 3 + 1
+    y = (x @ np.arange(1, x.shape[1] + 1) + rng.normal(size=400) * 20 > 20).astype(float)
+    rows = spark.createDataFrame([(int(b), *map(float, a)) for a, b in zip(x, y)], "label int, " + ", ".join(f"{m} double" for m in toxicity.MEASURES)).repartition(3)
+    got = toxicity.calibrate(rows, x.mean(axis=0), x.std(axis=0))
+    z, w = np.c_[(x - x.mean(axis=0)) / x.std(axis=0), np.ones(400)], np.zeros(x.shape[1] + 1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ w))
+        w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.1 * np.eye(len(w)), z.T @ (p - y) + 0.1 * w)
+    plain = w[:-1] / x.std(axis=0)
+    assert np.allclose(got, np.r_[plain, w[-1] - plain @ x.mean(axis=0)], rtol=1e-4)
