@@ -24,8 +24,7 @@ EVENTS = "uri string, text string, version bigint"
 RANGED_EVENTS = f"{EVENTS}, edits array<struct<start_line:int,start_char:int,end_line:int,end_char:int,text:string>>"
 _TABLES = {
     "fragments": "uri string, frag_id int, toks array<string>",
-    "seeds": "uri string, frag_id int, off int, seed_hi bigint, seed_lo bigint",
-    "ranked": "uri string, frag_id int, off int, seed_hi bigint, seed_lo bigint, rk int, lcp int, prev struct<uri:string,frag_id:int,off:int>",
+    "nodes": "uri string, frag_id int, off int, clone_size int, class_id string",
     "documents": "uri string, text string",
 }
 
@@ -52,7 +51,7 @@ class CloneStore:
         return sorted(int(str(x.getPath()).split("/")[-3].removeprefix("v")) for x in found or [])
 
     def state(self, version: int) -> State:
-        return State(self._read(version, "fragments"), self._read(version, "seeds"), self._read(version, "ranked"), self.threshold)
+        return State(self._read(version, "fragments"), self._read(version, "nodes"), self.threshold)
 
     def documents(self) -> DataFrame:
         found = self.versions()
@@ -63,7 +62,7 @@ class CloneStore:
         return self.state(self.versions()[-1]).clones()
 
     def _write(self, version: int, state: State, documents: DataFrame) -> None:
-        for name in ("fragments", "seeds", "ranked"):
+        for name in ("fragments", "nodes"):
             getattr(state, name).write.mode("overwrite").parquet(self._path(version, name))
         documents.write.mode("overwrite").parquet(self._path(version, "documents"))
 

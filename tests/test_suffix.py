@@ -104,3 +104,16 @@ def test_places_that_go_on_alike_are_one_row(spark):
     assert chains.count() == 5
     key = lambda d: sorted(map(str, d.select(*suffix.PLACE, "rk", "lcp", "prev").collect()))
     assert key(suffix.places(chains)) == key(suffix.ranked(df, 5, prune=False))
+
+
+@pytest.mark.parametrize("hops", [0, 3])
+def test_only_what_a_batch_can_change_is_found_anew(spark, monkeypatch, hops):
+    """A print links u and v, another v and w, none x and y; a batch that takes u away can change those two, and w."""
+    monkeypatch.setattr(incremental, "HOPS", hops)
+    rows = [("u", 0, list("abcd")), ("v", 0, list("abcd12345")), ("w", 0, list("2345")), ("x", 0, list("pqrs")), ("y", 0, list("pqrst"))]
+    state = incremental.build(spark.createDataFrame(rows, SCHEMA), 4)
+    asked, clones = [], incremental.clones
+    monkeypatch.setattr(incremental, "clones", lambda f, t: (asked.append({r.uri for r in f.select("uri").collect()}), clones(f, t))[1])
+    state = incremental.refresh(state, spark.createDataFrame([("u",)], "uri string"), spark.createDataFrame([], SCHEMA))
+    assert found(state.clones()) == brute(rows[1:], 4)
+    assert asked == [{"v", "w"} if hops else {"v", "w", "x", "y"}]
