@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from reprise.operators import incremental, suffix
 
@@ -117,3 +118,36 @@ def test_only_what_a_batch_can_change_is_found_anew(spark, monkeypatch, hops):
     state = incremental.refresh(state, spark.createDataFrame([("u",)], "uri string"), spark.createDataFrame([], SCHEMA))
     assert found(state.clones()) == brute(rows[1:], 4)
     assert asked == [{"v", "w"} if hops else {"v", "w", "x", "y"}]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_long_runs_are_compared_in_rounds(spark, monkeypatch, seed):
+    """Runs of many chains, copies of them, and overlapping repeats: no row has more numbers than a round compares."""
+    monkeypatch.setattr(suffix, "STEPS", 2)
+    rng = random.Random(seed)
+    long = [rng.choice("ab") for _ in range(50)]
+    rows = [("v", 0, long), ("u", 1, long), ("u", 0, ["c", *long[10:], "c"]), ("w", 0, list("ab" * 20)), ("w", 1, list("a" * 30)), ("x", 0, long[:25] + ["d"] + long[:25])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    sizes, refined = [], suffix._refined
+    monkeypatch.setattr(suffix, "_refined", lambda ranks, step: (sizes.append(ranks.selectExpr("max(size(suf))").first()[0]), refined(ranks, step))[1])
+    key = lambda d: sorted(map(str, d.select(*suffix.PLACE, "rk", "lcp", "prev").collect()))
+    assert key(suffix.places(suffix.chained(df, 3))) == key(suffix.ranked(df, 3, prune=False))
+    assert len(sizes) > 3 and max(sizes) == 2
+    assert found(suffix.clones(df, 3)) == brute(rows, 3)
+
+
+def test_released_tables_leave_no_shuffle_files(spark, tmp_path):
+    """At the end of the write, and not when the driver happens to collect its garbage; the switch is as it was."""
+    from reprise import storage
+
+    was = spark.conf.get(storage.CLEAN_UP)
+    maps = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = maps.shuffleStatuses().size()
+    held = spark.range(100).groupBy((F.col("id") % 7).alias("k")).count()
+    out = storage.materialize(held, "held", release=True)
+    assert maps.shuffleStatuses().size() <= before
+    assert out.count() == 7 and spark.conf.get(storage.CLEAN_UP) == was
+    path = storage._paths[out]
+    storage.discard(out)
+    with pytest.raises(Exception, match="(?i)path"):
+        spark.read.parquet(path)
