@@ -151,3 +151,56 @@ def test_released_tables_leave_no_shuffle_files(spark, tmp_path):
     storage.discard(out)
     with pytest.raises(Exception, match="(?i)path"):
         spark.read.parquet(path)
+
+
+def test_copies_are_hashed_and_counted_once(spark, monkeypatch):
+    """Of 40 copies of a line one row of tokens gives seeds, not 40; places, ranks and neighbours are those of a plain sort."""
+    same = [f"w{i % 9}" for i in range(30)]
+    rows = [*[("u", i, same) for i in range(40)], ("v", 0, [*same, "x"]), ("w", 0, ["y", *same[3:]]), ("x", 0, list("abcde"))]
+    df, sizes, materialize = spark.createDataFrame(rows, SCHEMA), {}, suffix.materialize
+
+    def counted(df, name, **how):
+        out = materialize(df, name, **how)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(suffix, "materialize", counted)
+    key = lambda d: sorted(map(str, d.select(*suffix.PLACE, "rk", "lcp", "prev").collect()))
+    chains = suffix.chained(df, 5)
+    assert sizes["folded"] == 3 and sizes["candidates"] >= 42
+    assert key(suffix.places(chains)) == key(suffix.ranked(df, 5, prune=False))
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 18])
+def test_windows_in_chunks(monkeypatch, chunk):
+    """Prints and seeds by their definitions, row by row, whatever a chunk holds, in a batch that is a slice of another."""
+    import pyarrow as pa
+
+    from reprise.functions import rolling
+
+    monkeypatch.setattr(rolling, "CHUNK", chunk)
+    monkeypatch.setattr(rolling, "_powers", {})
+    rng = random.Random(5)
+    tokens = [[rng.choice([-5, 7, 1 << 40]) for _ in range(n)] for n in (3, 0, 12, 4, 5, 1, 30, 0)]
+    kind = pa.list_(pa.int64())
+    batch = pa.record_batch({"nr": pa.array(range(8)), "hashes": pa.array(tokens, kind), "first": pa.array(tokens, kind), "second": pa.array(tokens, kind)}).slice(1)
+    made = [r for b in rolling.seeds(4, ["nr"], 40)(iter([batch])) for r in b.to_pylist()]
+    assert [(r["nr"], r["off"]) for r in made] == [(i, o) for i in range(1, 8) for o in range(len(tokens[i]) - 3)]
+    window = lambda i, o, n=4: tuple(tokens[i][o : o + n])
+    for part in ("hi", "lo"):
+        value = lambda r: r["hi"] if part == "hi" else r["more"] & 0xFFFFFF0000000000  # noqa: B023, E731
+        pairs = {(window(r["nr"], r["off"]), value(r)) for r in made}
+        assert len(pairs) == len({w for w, _ in pairs}) == len({v for _, v in pairs})
+    after = {(window(r["nr"], r["off"], 5), r["more"] & ((1 << 40) - 1)) for r in made}
+    assert all((v == 0) == (len(w) < 5) for w, v in after)
+    assert len({v for w, v in after if v}) == len({w[1:] for w, v in after if v})
+    grams = {}  # of two tokens
+    for t in tokens:
+        for o in range(len(t) - 1):
+            grams[tuple(t[o : o + 2])] = int(rolling.windows(rolling.np.array(t[o : o + 2]).view("uint64"), 2)[0])
+    want = []
+    for i in range(1, 8):
+        at = [min((grams[window(i, g, 2)], g) for g in range(o, o + 3)) for o in range(len(tokens[i]) - 3)]
+        want += [(i, h) for n, (h, g) in enumerate(at) if n == 0 or at[n - 1][1] != g]
+    found_prints = [(r["nr"], r["h"] % (1 << 64)) for b in rolling.prints(4, ["nr"])(iter([batch.select(["nr", "hashes"])])) for r in b.to_pylist()]
+    assert found_prints == want
